@@ -1,0 +1 @@
+"""Nothing here reads a stream: a scan is one batch over files, so no streaming operator exists."""
