@@ -219,3 +219,39 @@ def activation(relationships: DataFrame, calls: DataFrame, reach: DataFrame, sco
         .when(F.coalesce("sources", F.lit(0)) > 0, "ReferencedOnlyByUnusedDax")
         .otherwise("NoDetectedActivation"),
     ).withColumn("sources", F.coalesce("sources", F.lit(0))).drop("_live")
+
+
+def chase(pointers: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """Follow `next` from every node to the first node with an `answer`, by pointer doubling.
+
+    pointers: scope, node (unique), next, answer. Returns scope, node, answer; a null answer means the chain
+    ends at a node that does not exist or runs into a cycle, told apart by `ends` ('answer', 'gone', 'cycle').
+    Every round doubles the distance looked ahead, so a chain of length d needs about log2(d) rounds. A chain
+    that ends has nodes at every smaller distance, so a round that settles nothing proves that what is left
+    is cyclic.
+    """
+    s = list(scope)
+    off = F.lit(None).cast("string")
+    start = pointers.select(*s, "node", "next", "answer",
+                            F.when(F.col("answer").isNotNull(), F.lit("answer")).otherwise(off).alias("ends"))
+    settled = cut(start.where("ends is not null").drop("next"))
+    todo = cut(start.where("ends is null"))
+    left = todo.count()
+    while left:
+        ahead = todo.select(*s, F.col("node").alias("next"), F.col("next").alias("after")).withColumn("_t", F.lit(True))
+        found = settled.select(*s, F.col("node").alias("next"), F.col("answer").alias("_a"), F.col("ends").alias("_e"))
+        step = (
+            todo.drop("answer", "ends").join(found, [*s, "next"], "left").join(ahead, [*s, "next"], "left")
+            .select(*s, "node", F.when(F.col("_t"), F.col("after")).otherwise(F.col("next")).alias("next"),
+                    F.col("_a").alias("answer"),
+                    F.when(F.col("_e").isNotNull(), F.col("_e"))
+                    .when(F.col("_t").isNull(), F.lit("gone")).otherwise(off).alias("ends"))
+        )
+        step = cut(step)
+        settled = settled.unionByName(step.where("ends is not null").drop("next"))
+        todo = step.where("ends is null")
+        before, left = left, todo.count()
+        if left == before:
+            break
+    cyclic = todo.select(*s, "node", "answer", F.lit("cycle").alias("ends"))
+    return settled.unionByName(cyclic)
