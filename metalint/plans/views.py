@@ -185,11 +185,11 @@ def with_views(sql: str) -> str:
                 visit(body.replace(name, ""))
 
     visit(sql)
+    text = sql.strip()
     if not needed:
-        return sql
+        return f"WITH RECURSIVE {text[5:]}" if text[:5].upper() == "WITH " else text
     ordered = [n for n in SQL_VIEWS if n in needed]
     ctes = ", ".join(f"{n} AS ({SQL_VIEWS[n].strip()})" for n in ordered)
-    text = sql.strip()
     if text[:5].upper() == "WITH ":
         return f"WITH RECURSIVE {ctes}, {text[5:]}"
     return f"WITH RECURSIVE {ctes} {text}"
