@@ -11,6 +11,11 @@ def fold(c: Column | str) -> Column:
     return F.lower(F.col(c) if isinstance(c, str) else c)
 
 
+def let(value: Column, fn) -> Column:
+    """fn(value) with the value computed and planned once, however often fn mentions it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def is_blank(c: Column) -> Column:
     """Null, empty or white space only."""
     return F.coalesce(~c.rlike(r"\S"), F.lit(True))
