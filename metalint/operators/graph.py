@@ -11,6 +11,7 @@ from ..session import cut, shuffle_width
 from .ranking import first_by
 
 EDGES_PER_TASK = 1_000_000
+ROWS_PER_PARTITION = 100_000
 
 
 def _adjacency(edges: DataFrame, scope: list[str], per_task: int) -> tuple[DataFrame, DataFrame]:
@@ -19,12 +20,11 @@ def _adjacency(edges: DataFrame, scope: list[str], per_task: int) -> tuple[DataF
     A source with more than `per_task` outgoing edges is spread over several pieces. The fan table lists
     only those sources, so it has at most |edges| / per_task rows.
     """
-    adj = edges.select(*scope, "src", "dst").distinct()
-    fan = (
+    adj = cut(edges.select(*scope, "src", "dst").distinct())
+    fan = cut(
         adj.groupBy(*scope, "src").agg(F.count("*").alias("_d")).where(F.col("_d") > per_task)
         .select(*scope, "src", F.ceil(F.col("_d") / per_task).cast("int").alias("_fan"))
     )
-    fan = cut(fan)
     keys = [*scope, "src", "_piece"]
     if fan.isEmpty():
         adj = adj.withColumn("_piece", F.lit(0))
@@ -32,8 +32,10 @@ def _adjacency(edges: DataFrame, scope: list[str], per_task: int) -> tuple[DataF
         adj = adj.join(fan, [*scope, "src"], "left").withColumn(
             "_piece", F.pmod(F.xxhash64("dst"), F.coalesce("_fan", F.lit(1))).cast("int")
         ).drop("_fan")
-    laid_out = adj.repartition(shuffle_width(edges.sparkSession), *keys).sortWithinPartitions(*keys)
-    return cut(laid_out), fan
+    # Small graphs need few partitions, whatever the session's shuffle width is.
+    width = min(shuffle_width(edges.sparkSession), adj.count() // ROWS_PER_PARTITION + 1)
+    spread = adj.repartition(width, *keys) if width > 1 else adj.coalesce(1)
+    return cut(spread.sortWithinPartitions(*keys)), fan
 
 
 def reachable(roots: DataFrame, edges: DataFrame, scope: Sequence[str], label: Sequence[str] = (),
