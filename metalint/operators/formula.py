@@ -169,9 +169,10 @@ def names_in_text(texts: DataFrame, names: DataFrame, scope: Sequence[str], key:
     quoted = F.concat(F.lit('#"'), F.replace("name", F.lit('"'), F.lit('""')), F.lit('"'))
     pattern = F.concat(F.lit(r"(?iu)(?<![A-Za-z0-9_])\Q"), F.replace("name", F.lit(r"\E"), F.lit(r"\E\\E\Q")),
                        F.lit(r"\E(?![A-Za-z0-9_.])"))
-    return pairs.join(texts.select(*s, *k, masked), [*s, *k]).where(
-        F.contains(F.lower(masked), F.lower(quoted)) | F.rlike(F.col(masked), pattern)
-    ).select(*s, *k, "name")
+    held = pairs.join(texts.select(*s, *k, masked, F.lower(masked).alias("_low")), [*s, *k])
+    # A plain substring test first: it settles most candidates, and patterns that differ by row are slow.
+    held = held.where(F.contains(F.col("_low"), F.lower("name")))
+    return held.where(F.contains(F.col("_low"), F.lower(quoted)) | F.rlike(F.col(masked), pattern)).select(*s, *k, "name")
 
 
 _BINDING = r'(?m)^\s*(#"[^"]*(?:""[^"]*)*"|[A-Za-z_][A-Za-z0-9_.]*)\s*='

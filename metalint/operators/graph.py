@@ -236,8 +236,9 @@ def chase(pointers: DataFrame, scope: Sequence[str]) -> DataFrame:
     off = F.lit(None).cast("string")
     start = pointers.select(*s, "node", "next", "answer",
                             F.when(F.col("answer").isNotNull(), F.lit("answer")).otherwise(off).alias("ends"))
-    settled = cut(start.where("ends is not null").drop("next"))
-    todo = cut(start.where("ends is null"))
+    start = cut(start)
+    settled = start.where("ends is not null").drop("next")
+    todo = start.where("ends is null")
     left = todo.count()
     while left:
         ahead = todo.select(*s, F.col("node").alias("next"), F.col("next").alias("after")).withColumn("_t", F.lit(True))

@@ -60,7 +60,7 @@ def token_refs(t: Tables) -> DataFrame:
         F.lit(") /* T[z] \n [w] */ + fn"), F.col("p_size") % 4, F.lit(" (1) + T"), F.col("p_partkey"),
         F.lit(" [Date].[Year] + \"it \"\" [s]\" + ["), "p_name", F.lit("]"),
     )
-    rows = t.table("part").select(F.lit(0).alias("model"), F.col("p_partkey").alias("k"), text.alias("e"))
+    rows = t.spread(t.table("part")).select(F.lit(0).alias("model"), F.col("p_partkey").alias("k"), text.alias("e"))
     tables = t.table("part").select(F.lit(0).alias("model"), F.upper("p_type").alias("tbl")).distinct()
     functions = t.table("part").where("p_size % 4 < 2").select(
         F.lit(0).alias("model"), F.concat(F.lit("FN"), F.col("p_size") % 4).alias("fn")).distinct()
@@ -147,7 +147,7 @@ def connector_summary(t: Tables) -> DataFrame:
 
 def _m_queries(t: Tables) -> DataFrame:
     """Query texts from parts: every even block reads another part's query, renames, selects and joins."""
-    part = t.table("part").select("p_partkey", "p_name")
+    part = t.spread(t.table("part").select("p_partkey", "p_name"))
     total = part.agg(F.count("*").alias("n")).scalar()
     k = F.col("p_partkey")
     other = (k + 25 * (k % 7 + 1)) % total
@@ -252,7 +252,7 @@ def kv_flatten(t: Tables) -> DataFrame:
     text = F.concat(
         F.lit('{"id":'), F.col("event_id"), F.lit(',"visual":{"filters":[{"'), "event_type", F.lit('":'), k, F.lit('},"'),
         "event_type", F.lit(' \\"q\\" \\u00e9"]},"low":'), (F.col("value") < 3).cast("string"), F.lit(',"none":null}'))
-    files = t.table("events").select(F.lit("p").alias("project"), F.col("event_id").cast("string").alias("rel_path"),
+    files = t.spread(t.table("events")).select(F.lit("p").alias("project"), F.col("event_id").cast("string").alias("rel_path"),
                                      F.encode(text, "UTF-8").alias("content"))
     return nodes.json_nodes(files).select(
         F.col("rel_path").cast("long").alias("event_id"), "path", "vtype", F.coalesce("value", F.lit("")).alias("value"),
@@ -280,8 +280,8 @@ def line_blocks(t: Tables) -> DataFrame:
         F.lit("\n\t\tdataType: int64\n"), F.when(z % 5 == 0, "\t\tISHIDDEN\n").otherwise(""),
         F.lit("\t\tsummarizeBy: none\n\n\tpartition '"), "p_brand", F.lit("' = m\n\t\tmode: import\n\t\tsource =\n\t\t\t\tlet\n\t\t\t\t    S = "),
         z, F.lit("\n\t\t\t\tin S\n\n\tannotation A = 1\n"))
-    files = t.table("part").select(F.lit("p").alias("project"), k.cast("string").alias("rel_path"),
-                                   F.encode(text, "UTF-8").alias("content"))
+    files = t.spread(t.table("part")).select(F.lit("p").alias("project"), k.cast("string").alias("rel_path"),
+                                             F.encode(text, "UTF-8").alias("content"))
     rows = blocks.block_rows(blocks.blocks(blocks.model_lines(files), (0, 4)), 4, (0,))
     body = F.col("body")
     return rows.where(F.col("kw").isin("measure", "column", "partition")).select(

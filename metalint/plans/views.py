@@ -15,6 +15,11 @@ class Tables:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    def spread(self, scan: DataFrame) -> DataFrame:
+        """A scan over all cores. Only inputs with fewer splits than cores are shuffled, such as one small file."""
+        cores = self.spark.sparkContext.defaultParallelism
+        return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
     def models(self) -> DataFrame:
         return self.table("nation").select(F.col("n_nationkey").alias("model_id"), F.col("n_name").alias("model"))
 
@@ -92,7 +97,7 @@ class Tables:
         talks = self.table("conversations").select(
             F.concat(F.lit("c"), "conv_id", F.lit("_"), "turn").alias("id"), "text"
         )
-        return docs.unionByName(pages).unionByName(talks)
+        return self.spread(docs.unionByName(pages).unionByName(talks))
 
     def bound_refs(self) -> DataFrame:
         """References of reports with a local model, with the model they are looked up in."""
