@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import graph, resolve
+from ..session import cut
 from .registry import query
 from .views import Tables
 
@@ -304,7 +305,7 @@ def endpoint_pairs(t: Tables) -> DataFrame:
 def activation(t: Tables) -> DataFrame:
     """Inactive relationships and whether a call in reachable code switches them on."""
     rel, calls = _relationships(t)
-    matched = resolve.match_endpoint_pair(calls, rel, ["model_id"]).select("model_id", "node", "relationship")
+    matched = cut(resolve.match_endpoint_pair(calls, rel, ["model_id"]).select("model_id", "node", "relationship"))
     _, _, closure = _closure(t)
     nodes = matched.select("model_id", "node").distinct()
     reach = graph.node_reachability(nodes, closure, ["model_id"])
