@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import fold
 from ..functions.urls import location_kind
+from ..session import cut
+from .ranking import first_by
 
 # Building blocks of the token patterns. Repetitions are unrolled so that the regex engine loops, not recurses.
 _STRING = r'"[^"]*(?:""[^"]*)*(?:"|\z)'
@@ -147,32 +149,33 @@ def _block_words(c: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"[a-z0-9_]+|[^\x00-\x7F]"), F.lit(0)))
 
 
-def _block_key(name: Column) -> Column:
-    """The longest plain word of a name; every text that holds the name holds this word whole."""
-    words = F.array_sort(F.transform(F.regexp_extract_all(F.lower(name), F.lit(r"[a-z0-9_]+"), F.lit(0)),
-                                     lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w"))))
-    other = F.regexp_extract(F.lower(name), r"[^\x00-\x7F]", 0)
-    return F.coalesce(F.get(words, 0)["w"], other)
-
-
 def names_in_text(texts: DataFrame, names: DataFrame, scope: Sequence[str], key: Sequence[str],
                   masked: str = "masked") -> DataFrame:
     """Which known names occur in which text, as a whole word or as `#"name"`.
 
-    texts: scope, key, masked; names: scope, name. Only words travel in the blocking join; candidate pairs
+    texts: scope, key, masked; names: scope, name. A text that holds a name holds every plain word of it
+    whole, so each name is looked for only where its rarest word occurs; a name without words is looked for
+    everywhere. Only words travel in the blocking join, and only words that some name has. Candidate pairs
     are distinct (text, name) and are checked against the whole text afterwards.
     """
     s, k = list(scope), list(key)
-    words = texts.select(*s, *k, F.explode(F.array_union(_block_words(F.col(masked)), F.array(F.lit("")))).alias("_w"))
-    keyed = names.select(*s, "name").distinct().withColumn("_w", _block_key(F.col("name")))
-    pairs = words.join(keyed, [*s, "_w"]).select(*s, *k, "name").distinct()
+    none = F.array(F.lit(""))
+    asked = names.select(*s, "name").distinct().select(*s, "name", _block_words(F.col("name")).alias("_a"))
+    asked = asked.select(*s, "name", F.explode(F.when(F.size("_a") > 0, F.col("_a")).otherwise(none)).alias("_w"))
+    words = texts.select(*s, *k, F.explode(F.array_union(_block_words(F.col(masked)), none)).alias("_w"))
+    words = cut(words.join(asked.select(*s, "_w").distinct(), [*s, "_w"], "left_semi"))
+    frequency = words.groupBy(*s, "_w").agg(F.count("*").alias("_n"))
+    rarest = first_by(
+        asked.join(frequency, [*s, "_w"], "left").withColumn("_n", F.coalesce("_n", F.lit(0))), [*s, "name"], ["_n", "_w"]
+    ).drop("_n")
+    pairs = words.join(rarest, [*s, "_w"]).select(*s, *k, "name").distinct()
     quoted = F.concat(F.lit('#"'), F.replace("name", F.lit('"'), F.lit('""')), F.lit('"'))
     pattern = F.concat(F.lit(r"(?iu)(?<![A-Za-z0-9_])\Q"), F.replace("name", F.lit(r"\E"), F.lit(r"\E\\E\Q")),
                        F.lit(r"\E(?![A-Za-z0-9_.])"))
     held = pairs.join(texts.select(*s, *k, masked, F.lower(masked).alias("_low")), [*s, *k])
     # A plain substring test first: it settles most candidates, and patterns that differ by row are slow.
-    held = held.where(F.contains(F.col("_low"), F.lower("name")))
-    return held.where(F.contains(F.col("_low"), F.lower(quoted)) | F.rlike(F.col(masked), pattern)).select(*s, *k, "name")
+    found = F.contains(F.col("_low"), F.lower("name")) & F.rlike(F.col(masked), pattern)
+    return held.where(F.contains(F.col("_low"), F.lower(quoted)) | found).select(*s, *k, "name")
 
 
 _BINDING = r'(?m)^\s*(#"[^"]*(?:""[^"]*)*"|[A-Za-z_][A-Za-z0-9_.]*)\s*='

@@ -177,6 +177,12 @@ def severity_rank(c: Column) -> Column:
     return F.when(c == SEVERITY_ORDER[0], 0).when(c == SEVERITY_ORDER[1], 1).otherwise(2)
 
 
+def sort_output(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Output order: text keys folded, then as written; only for sinks."""
+    text = {f.name for f in df.schema if f.dataType.simpleString() == "string"}
+    return df.orderBy(*[F.lower(c) if c in text else F.col(c) for c in keys], *[F.col(c) for c in keys if c in text])
+
+
 def sort_findings(findings: DataFrame) -> DataFrame:
     """Severity, rule, then place; artifact and evidence settle what is left. Nulls come first."""
     low = [F.lower(c).asc_nulls_first() for c in ("report", "page_display", "visual")]
