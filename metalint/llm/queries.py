@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from metalint.llm import near_dedup
-from metalint.llm.common import documents
+from metalint.llm import decontaminate, mixing, near_dedup, quality
+from metalint.llm.common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -22,3 +22,28 @@ def query(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessi
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents."""
     return near_dedup.near_groups(documents(spark, sf_dir))
+
+
+@query
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality verdict of all documents."""
+    docs = documents(spark, sf_dir)
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in all documents."""
+    return decontaminate.contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op10_decontaminate"] = decontaminate.contamination_sql()
+
+
+@query
+def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies of all documents in the mix of their sources."""
+    return mixing.mix_plan(documents(spark, sf_dir))
+
+
+ORACLES["op1_mix"] = mixing.mix_sql()

@@ -66,12 +66,8 @@ def word_spans(raw: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE)
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def hash_words(texts: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in text order, and the bounds of each text in them; works block by block."""
-    raw, offsets = text_bytes(texts)
-    if lower:
-        raw = _LOWER[raw]
-    starts, ends, bounds = word_spans(raw, offsets)
+def hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the given pieces of bytes, which follow one another; works block by block."""
     out = np.empty(len(starts), np.uint64)
     at = 0
     while at < len(starts):
@@ -83,7 +79,22 @@ def hash_words(texts: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray]:
         before = np.where(s > 0, sums[s - 1], np.uint64(0))
         out[at:to] = mix((sums[e - 1] - before) * inverse[s] + (e - s).astype(np.uint64))
         at = to
-    return out, bounds
+    return out
+
+
+def hash_words(texts: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in text order, and the bounds of each text in them."""
+    raw, offsets = text_bytes(texts)
+    if lower:
+        raw = _LOWER[raw]
+    starts, ends, bounds = word_spans(raw, offsets)
+    return hash_spans(raw, starts, ends), bounds
+
+
+def sums_between(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Sum of the values from each bound to the next."""
+    total = np.concatenate([np.zeros(1, np.float64 if values.dtype.kind == "f" else np.int64), np.cumsum(values, dtype=np.float64 if values.dtype.kind == "f" else np.int64)])
+    return total[bounds[1:]] - total[bounds[:-1]]
 
 
 def batches_of(arrays: Iterator[pa.RecordBatch], rows: int = 2048) -> Iterator[pa.RecordBatch]:
