@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from metalint.llm import decontaminate, mixing, near_dedup, quality
+from metalint.llm import byte_shards, decontaminate, mixing, near_dedup, quality, token_shards, url_trust
 from metalint.llm.common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,3 +48,24 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op1_mix"] = mixing.mix_sql()
+
+
+@query
+def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents, written as shards and read back through their index."""
+    return token_shards.encode_and_read(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op4_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on the url of every page."""
+    return url_trust.url_verdicts(table(spark, sf_dir, "pages"))
+
+
+ORACLES["op4_url_trust"] = url_trust.verdict_sql()
+
+
+@query
+def op5_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document."""
+    return byte_shards.shard_plan(documents(spark, sf_dir))
