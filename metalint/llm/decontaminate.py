@@ -71,7 +71,8 @@ def verified_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     split = keyed.select("doc_id", "th", _words(F.lower("text")).alias("words"))
     scan = split.select("doc_id", "th", F.size("words").alias("n"), F.concat(*[_hashes(F.col("words"), m) for m in lengths]).alias("hashes"))
-    scan = scan.select("doc_id", "th", "n", F.posexplode("hashes").alias("at", "h"))
+    # The outer form: for the inner one Catalyst adds a filter on the list, which would hash every text twice.
+    scan = scan.select("doc_id", "th", "n", F.posexplode_outer("hashes").alias("at", "h"))
     hits = scan.join(_small(windows.select("h").distinct(), rows), "h", "left_semi")
     hits = cut(hits.groupBy("doc_id", "th").agg(F.collect_set(_place(F.col("at"), F.col("n"), lengths)).alias("at")))
 

@@ -29,11 +29,11 @@ from metalint.llm.wordhash import batches_of, hash_words, mix
 
 SHINGLE = 5
 PERCENT = 75
-TREES = 16
-EARLY = 4
+TREES = 12
+EARLY = 3
 COORDS = 128
 TINY = 8
-NODE = 256
+NODE = 512
 LEVELS = 14
 #: Of a pair's minwise values so many must agree; a pair at the threshold has fewer with a chance below 1 in 100,000.
 AGREE = 0.58
@@ -45,6 +45,18 @@ _STEP = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667
 _STEP_ARRAY = np.array(_STEP)
 
 
+def _root_coords() -> list[tuple[int, int]]:
+    """(tree, coordinate): one for each tree, a second for a third of the trees, so 4/3 = 1/similarity on average."""
+    out = []
+    for tree in range(TREES):
+        picked = np.random.Generator(np.random.PCG64(1000 + tree)).choice(COORDS, 2, replace=False)
+        out += [(tree, int(c)) for c in picked[:2 if tree % 3 == 0 else 1]]
+    return out
+
+
+ROOTS = _root_coords()
+
+
 def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> list[np.ndarray]:
     """Sorted distinct hashes of the word shingles of each text; a shorter text is one shingle, one without words none."""
     words, bounds = hash_words(texts, lower=True)
@@ -73,6 +85,10 @@ def minwise(shingles: np.ndarray) -> np.ndarray:
     return low
 
 
+def _lists(rows: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(np.arange(0, rows.size + 1, rows.shape[1], dtype=np.int32), rows.reshape(-1))
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches_of(batches):
         sets = shingle_sets(batch.column("text"))
@@ -83,11 +99,12 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(s):
                 digests[i] = mix(s).sum(dtype=np.uint64), mix(s ^ _STEP[1]).sum(dtype=np.uint64)
                 values[i] = minwise(s)
-        offsets = np.arange(0, COORDS * len(sets) + 1, COORDS, dtype=np.int32)
+        roots = np.stack([mix(values[:, c].astype(np.uint64) + np.uint64(tree << 44 | c << 32)) for tree, c in ROOTS], axis=1)
+        short = (values >> np.uint32(16)).astype(np.uint16) ^ values.astype(np.uint16)
         yield pa.RecordBatch.from_arrays([
             batch.column("doc_id"), batch.column("th"), pa.array(sizes), pa.array(digests[:, 0].view(np.int64)),
-            pa.array(digests[:, 1].view(np.int64)), pa.ListArray.from_arrays(offsets, values.reshape(-1).view(np.int32)),
-        ], names=["doc_id", "th", "n_shingles", "d1", "d2", "sig"])
+            pa.array(digests[:, 1].view(np.int64)), _lists(roots.view(np.int64)), _lists(short.view(np.int16)),
+        ], names=["doc_id", "th", "n_shingles", "d1", "d2", "roots", "sig"])
 
 
 def linked(a: int, b: int, common: int) -> bool:
@@ -140,15 +157,6 @@ def _node_links(group: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def _root_coords() -> list[tuple[int, int]]:
-    """(tree, coordinate): one for each tree, a second for a third of the trees, so 4/3 = 1/similarity on average."""
-    out = []
-    for tree in range(TREES):
-        picked = np.random.Generator(np.random.PCG64(1000 + tree)).choice(COORDS, 2, replace=False)
-        out += [(tree, int(c)) for c in picked[:2 if tree % 3 == 0 else 1]]
-    return out
-
-
 def _sized(rows: DataFrame) -> DataFrame:
     """Rows of nodes with two or more sets, with the node's size; counted before they are joined."""
     sizes = rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
@@ -218,8 +226,11 @@ def _mixed(rows: DataFrame) -> DataFrame:
 def _late_links(rows: DataFrame, reps: DataFrame, labels: DataFrame, texts: DataFrame) -> list[DataFrame]:
     """Links in the nodes of the later trees, which branch until they are small enough or hold one component."""
     out, level = [], 3
+    rows = cut(_mixed(_with_labels(rows, labels)))
+    # From here on only the sets in mixed nodes are looked at.
+    uids = rows.select("uid").distinct()
+    reps, texts, labels = (cut(df.join(uids, "uid", "left_semi")) for df in (reps.select("uid", "sig"), texts, labels))
     while True:
-        rows = cut(_mixed(_with_labels(rows, labels)))
         small = rows.where(F.col("n") <= NODE).withColumn("block", F.col("node"))
         out.append(cut(_check_blocks(small.select("uid", "label", "block"), texts)))
         large = rows.where(F.col("n") > NODE)
@@ -227,7 +238,7 @@ def _late_links(rows: DataFrame, reps: DataFrame, labels: DataFrame, texts: Data
             return out
         if level > LEVELS:
             break
-        rows = _sized(_branch(large, reps, level))
+        rows = cut(_mixed(_with_labels(_sized(_branch(large, reps, level)), labels)))
         level += 1
     own, other = F.col("own"), F.col("other")
     pairs = large.withColumn("own", _block_of(F.col("n"))).withColumn("other", F.explode(F.sequence(F.lit(0), _blocks(F.col("n")) - 1)))
@@ -245,15 +256,14 @@ def near_groups(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     keyed = docs.withColumn("th", F.xxhash64("text"))
-    signed = cut(keyed.mapInArrow(_signatures, "doc_id long, th long, n_shingles long, d1 long, d2 long, sig array<int>"))
+    signed = cut(keyed.mapInArrow(_signatures, "doc_id long, th long, n_shingles long, d1 long, d2 long, roots array<long>, sig array<smallint>"))
     sets = ["n_shingles", "d1", "d2"]
     reps = signed.where("n_shingles > 0").groupBy(*sets).agg(
-        F.min_by(F.struct("doc_id", "th", "sig"), F.struct("doc_id", "th")).alias("rep"))
+        F.min_by(F.struct("doc_id", "th", "roots", "sig"), F.struct("doc_id", "th")).alias("rep"))
     reps = cut(reps.select(*sets, "rep.*").withColumn("uid", F.monotonically_increasing_id()))
 
-    roots = [(c, tree < EARLY, F.xxhash64(F.lit(tree), F.lit(c), F.col("sig")[c])) for tree, c in _root_coords()]
-    first = reps.select("uid", F.explode(F.array(*[F.struct(n.alias("node"), F.lit(e).alias("early")) for _, e, n in roots])).alias("x"))
-    level1 = _sized(first.select("uid", "x.node", "x.early"))
+    early = F.array_contains(F.array(*[F.lit(i) for i, (tree, _) in enumerate(ROOTS) if tree < EARLY]), F.col("i"))
+    level1 = _sized(reps.select("uid", F.posexplode("roots").alias("i", "node")).select("uid", "node", early.alias("early")))
     pairs = _tiny_pairs(level1, reps)
     level2 = _sized(_branch(level1.where(F.col("n") > TINY), reps, 2))
 

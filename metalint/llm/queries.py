@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from metalint.llm import byte_shards, decontaminate, mixing, near_dedup, quality, token_shards, url_trust
+from metalint.llm import byte_shards, decontaminate, mixing, near_dedup, quality, token_shards, url_trust, warc
 from metalint.llm.common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +69,12 @@ ORACLES["op4_url_trust"] = url_trust.verdict_sql()
 def op5_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and slot of every document."""
     return byte_shards.shard_plan(documents(spark, sf_dir))
+
+
+@query
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archive records of all pages, read back through the merged capture index."""
+    return warc.archive_and_read(table(spark, sf_dir, "pages"))
+
+
+ORACLES["op3_warc"] = warc.archive_sql()
