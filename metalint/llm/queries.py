@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from metalint.llm import byte_shards, decontaminate, mixing, near_dedup, quality, suffix_tree, token_shards, url_trust, warc
+from metalint.llm import byte_shards, decontaminate, licenses, mixing, near_dedup, quality, suffix_tree, token_shards, url_trust, warc
 from metalint.llm.common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,10 @@ ORACLES["op3_warc"] = warc.archive_sql()
 def op6_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language-model scores of all documents."""
     return suffix_tree.score(documents(spark, sf_dir))
+
+
+@query
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence families in all documents."""
+    docs = documents(spark, sf_dir)
+    return licenses.scan(docs, licenses.train(docs))
