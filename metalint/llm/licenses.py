@@ -120,6 +120,11 @@ def _adjusted(z: np.ndarray, temperature: float, offset: float) -> np.ndarray:
     return _softmax(z)
 
 
+def _noise(rng: np.random.Generator, n: int) -> list[str]:
+    """Words that mean nothing, to stand around a notice."""
+    return ["".join(chr(97 + c) for c in rng.integers(0, 26, int(rng.integers(2, 9)))) for _ in range(n)]
+
+
 def _variants(seed: int = 5) -> tuple[list[str], list[int]]:
     """Varied copies of the templates, the same in every run."""
     rng = np.random.Generator(np.random.PCG64(seed))
@@ -131,6 +136,8 @@ def _variants(seed: int = 5) -> tuple[list[str], list[int]]:
                 kept = [w for w in words if v == 0 or rng.random() > 0.08] or words
                 if v % 4 == 3 and len(kept) > 8:
                     kept = kept[:max(6, int(len(kept) * 0.8))]
+                if v % 3 == 1:
+                    kept = [*_noise(rng, int(rng.integers(0, 8))), *kept, *_noise(rng, int(rng.integers(0, 8)))]
                 texts.append(" ".join(kept).upper() if v % 10 == 9 else " ".join(kept))
                 classes.append(c)
     return texts, classes

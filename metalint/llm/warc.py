@@ -30,7 +30,7 @@ from metalint.llm.common import cut, open_folder, scratch_folder, shuffle_width,
 MIN_REVISIT = 1000
 ARCHIVE_BYTES = 64_000_000
 RUN_LINES = 200_000
-SPARSE = 256
+SPARSE = 64
 RANGE_LINES = 500_000
 FAN_IN = 64
 SPLIT_SAMPLES = 100_000
@@ -86,12 +86,12 @@ def read_record(member: bytes) -> tuple[dict[str, str], bytes]:
 class _Runs:
     """Collects index lines of one task and writes them as sorted runs."""
 
-    def __init__(self, folder: str, piece: int):
-        self.folder, self.piece, self.lines, self.made = folder, piece, [], []
+    def __init__(self, folder: str, piece: int, most: int):
+        self.folder, self.piece, self.most, self.lines, self.made = folder, piece, most, [], []
 
     def add(self, line: bytes) -> None:
         self.lines.append(line)
-        if len(self.lines) >= RUN_LINES:
+        if len(self.lines) >= self.most:
             self.close()
 
     def close(self) -> None:
@@ -108,10 +108,10 @@ class _Runs:
             self.lines = []
 
 
-def _archive_writer(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _archive_writer(folder: str, run_lines: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece = pyspark.TaskContext.get().partitionId()
-        runs, members, size, files = _Runs(folder, piece), [], 0, 0
+        runs, members, size, files = _Runs(folder, piece, run_lines), [], 0, 0
 
         def close() -> None:
             nonlocal members, size, files
@@ -253,7 +253,7 @@ def merge_runs(runs: DataFrame, folder: str, range_lines: int = RANGE_LINES, fan
             return state.select("part", "run", "lines")
 
 
-def write_archives(pages: DataFrame, folder: str) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, run_lines: int = RUN_LINES) -> DataFrame:
     """Write pages (page_id, url, html) and their capture runs; returns the list of runs."""
     pages = pages.select("page_id", "url", "html")
     payload = F.coalesce("html", F.lit(""))
@@ -262,7 +262,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     rows = keyed.join(latest, F.col("long_enough") & (F.col("digest") == F.col("of_digest")), "left")
     revisit = F.coalesce(~F.col("page_id").eqNullSafe(F.col("refers_to")) & F.col("refers_to").isNotNull(), F.lit(False))
     rows = rows.select("page_id", "url", "html", "refers_to", revisit.alias("revisit"))
-    return cut(rows.mapInArrow(_archive_writer(folder), "run string, lines long"))
+    return cut(rows.mapInArrow(_archive_writer(folder, run_lines), "run string, lines long"))
 
 
 def capture_history(merged: DataFrame, folder: str) -> DataFrame:
