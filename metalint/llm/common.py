@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 
 from metalint.session import cut, shuffle_width
 
-__all__ = ["ascii_lower", "cut", "documents", "drop_folder", "open_folder", "scratch_folder", "shuffle_width", "table", "WORD"]
+__all__ = ["ascii_lower", "cut", "documents", "drop_folder", "fresh", "lean_shuffles", "open_folder", "scratch_folder", "shuffle_width", "table", "WORD"]
 
 WORD = r"[^\x20\x09-\x0D]+"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -30,6 +32,37 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, _UPPER, _UPPER.lower())
 
 
+@contextmanager
+def lean_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a query built in here go when the query has ended.
+
+    For jobs of many steps whose results are all on reliable storage: nothing reads those files again, and a lost
+    executor costs the step that runs, not the ones before.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Helper column names that df does not have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def scratch_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder name below the shared folder that the session names (below the warehouse where it names none)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from metalint.llm.common import ascii_lower, cut
+from metalint.llm.common import ascii_lower, cut, fresh
 
 WINDOW = 10
 BROADCAST_WINDOWS = 2_000_000
@@ -124,15 +124,18 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, remove: str = "docume
 
     Rows without a hit stay as they are, nulls and repeated rows included.
     """
-    hits = verified_hits(docs, benchmark).select(F.col("doc_id").alias("hit_id"), F.col("th").alias("hit_th"), F.col("spans").alias("hit_spans"))
-    key = F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("hit_th"))
+    of_id, of_text, spans = fresh(docs, "hit_id", "hit_th", "hit_spans")
+    hits = verified_hits(docs, benchmark).select(F.col("doc_id").alias(of_id), F.col("th").alias(of_text), F.col("spans").alias(spans))
+    key = F.col("doc_id").eqNullSafe(F.col(of_id)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(of_text))
     if remove == "documents":
         return docs.join(hits, key, "left_anti")
-    pieces = F.regexp_extract_all("text", F.lit(f"(?s)^{_CASED.replace('[^', '[')}+|{_CASED}+{_CASED.replace('[^', '[')}*"), F.lit(0))
+    gap = _CASED.replace("[^", "[")
+    pieces = F.regexp_extract_all("text", F.lit(f"(?s)^{gap}+|{_CASED}+{gap}*"), F.lit(0))
+    # What stands before the first word is a piece of its own.
     leads = F.when(F.col("text").rlike(f"^{_CASED}"), F.lit(0)).otherwise(F.lit(1))
-    hit = F.array_distinct(F.flatten(F.transform("hit_spans", lambda x: F.sequence(x["first"], x["first"] + x["m"] - 1))))
+    hit = F.array_distinct(F.flatten(F.transform(spans, lambda x: F.sequence(x["first"], x["first"] + x["m"] - 1))))
     rest = F.filter(pieces, lambda piece, i: ~F.array_contains(hit, i + 1 - leads))
-    text = F.when(F.col("hit_spans").isNull(), F.col("text")).otherwise(F.array_join(rest, ""))
+    text = F.when(F.col(spans).isNull(), F.col("text")).otherwise(F.array_join(rest, ""))
     return docs.join(hits, key, "left").select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns])
 
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from metalint.llm.common import WORD, cut, shuffle_width
+from metalint.llm.common import WORD, cut, fresh, shuffle_width
 
 WEIGHTS = (1, 2, 3)
 MAX_COPIES = 3
@@ -93,18 +93,18 @@ def mix_plan(docs: DataFrame, seed: int = SEED) -> DataFrame:
 def mixed_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """docs with each row as often as the mix takes it; rows that it does not take are left out.
 
-    Rows with the same doc_id, source and text share their copies: all their copies, dealt out evenly.
+    Rows with the same doc_id, source and text share their copies, and one of them is repeated as often as all are taken.
     """
     key = F.xxhash64(F.coalesce("text", F.lit("")))
     sized = cut(docs.select("doc_id", key.alias("th"), "source", word_count(F.col("text")).alias("size")))
-    plan = planned_copies(sized, source_targets(sized), seed).groupBy("doc_id", "th", "source").agg(
-        F.sum("copies").alias("mix_copies"), F.count("*").alias("mix_rows"))
-    plan = plan.where("mix_copies > 0").toDF("mix_id", "mix_th", "mix_source", "mix_copies", "mix_rows")
-    same = F.col("doc_id").eqNullSafe(F.col("mix_id")) & (key == F.col("mix_th")) & F.col("source").eqNullSafe(F.col("mix_source"))
+    of_id, of_text, of_source, copies, rows_of, copy = fresh(docs, "mix_id", "mix_th", "mix_source", "mix_copies", "mix_rows", "mix_copy")
+    plan = planned_copies(sized, source_targets(sized), seed).groupBy("doc_id", "th", "source").agg(F.sum("copies"), F.count("*"))
+    plan = plan.toDF(of_id, of_text, of_source, copies, rows_of).where(F.col(copies) > 0)
+    same = F.col("doc_id").eqNullSafe(F.col(of_id)) & (key == F.col(of_text)) & F.col("source").eqNullSafe(F.col(of_source))
     rows = docs.join(plan, same)
     # One row of each set of equal rows stands for all of them and is repeated.
-    once = rows.where("mix_rows = 1").unionByName(rows.where("mix_rows > 1").dropDuplicates(["mix_id", "mix_th", "mix_source"]))
-    return once.withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies")))).select(*docs.columns)
+    once = rows.where(F.col(rows_of) == 1).unionByName(rows.where(F.col(rows_of) > 1).dropDuplicates([of_id, of_text, of_source]))
+    return once.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*docs.columns)
 
 
 def mix_sql(seed: int = SEED) -> str:

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from metalint.llm.common import fresh
 from metalint.llm.wordhash import _SPACE, batches_of, hash_spans, mix, sums_between, text_bytes, word_spans
 
 BUCKETS = 1 << 17
@@ -239,7 +240,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 
 def good_documents(docs: DataFrame, model: Model | None) -> DataFrame:
     """The rows of docs that the rules keep, with all their columns."""
-    verdict = "quality_rule_keeps"
+    [verdict] = fresh(docs, "quality_rule_keeps")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.withColumn(verdict, F.lit(True)).schema
 

@@ -9,7 +9,8 @@ its mass to its suffix's distribution over the others, so every distribution sum
 state of its longest suffix.
 
 The shares bound what is broadcast whatever the input: 1 / SYMBOL_SHARE symbols, and 1 / CONTEXT_SHARE states and
-1 / ENTRY_SHARE next symbols for each depth. Base counts cover every word and are never broadcast: texts are cut into
+1 / ENTRY_SHARE next symbols for each depth. A longer context is only counted where the counts of the depth before
+say that it can have its share. Base counts cover every word and are never broadcast: texts are cut into
 chunks, each word's total goes back to the chunks that have the word, and each chunk is scored with its own words.
 """
 
@@ -22,21 +23,21 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyspark
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from metalint.llm.common import cut, open_folder, scratch_folder, shuffle_width, write_whole
+from metalint.llm.common import cut, lean_shuffles, open_folder, scratch_folder, shuffle_width, write_whole
 from metalint.llm.wordhash import batches_of, hash_words, mix, sums_between
 
 DEPTH = 2
-SYMBOL_SHARE = 1e-5
-CONTEXT_SHARE = 2e-5
+SYMBOL_SHARE = 2e-5
+CONTEXT_SHARE = 5e-5
 ENTRY_SHARE = 1e-6
 DIVERGENCE = 0.01
 DISCOUNT = 0.5
 ADDED = 0.1
 HELD_OUT = 10
-CHUNK_BYTES = 16_000_000
+CHUNK_BYTES = 24_000_000
 #: The hash that stands for the end of a text among the words.
 END = np.uint64(0xE0F0E0F0E0F0E0F1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -147,30 +148,24 @@ def _chunk_writer(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
     return run
 
 
-def _context_counts(folder: str, tree: Tree, depth: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Counts of (suffix, context, symbol) in the training texts of each chunk, below states of the depth before."""
+def _context_counts(folder: str, tree: Tree, wanted: np.ndarray, depth: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Counts of (context, symbol) in the training texts of each chunk for the wanted contexts; symbol -1 has all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in batch.column("chunk").to_pylist():
                 table = _read_chunk(folder, chunk)
                 keep = pa.array([not is_held_out(d) for d in table.column("doc_id").to_pylist()])
-                texts = table.filter(keep).column("text").combine_chunks()
-                tokens, bounds = tokens_of(texts)
+                tokens, bounds = tokens_of(table.filter(keep).column("text").combine_chunks())
                 symbols = tree.symbols(tokens)
-                keys = context_keys(symbols, bounds, depth)
-                own = keys[-1]
-                above = keys[-2] if depth > 1 else np.zeros(len(own), np.uint64)
-                if depth > 1:
-                    below = _find(tree.states[-1], above) >= 0
-                    own, above, symbols = own[below], above[below], symbols[below]
-                both = entry_keys(own, symbols)
-                _, first, n = np.unique(both, return_index=True, return_counts=True)
-                for lo in range(0, len(first), 65536):
-                    at, count = first[lo:lo + 65536], n[lo:lo + 65536]
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(above[at].view(np.int64)), pa.array(own[at].view(np.int64)), pa.array(symbols[at].astype(np.int32)), pa.array(count.astype(np.int64))],
-                        names=["above", "context", "symbol", "n"])
+                place = _find(wanted, context_keys(symbols, bounds, depth)[-1])
+                inside = place >= 0
+                both, n = np.unique(place[inside] << 32 | symbols[inside], return_counts=True)
+                places, all_n = np.unique(place[inside], return_counts=True)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.concatenate([both >> 32, places]).astype(np.int32)),
+                    pa.array(np.concatenate([both & 0xFFFFFFFF, np.full(len(places), -1)]).astype(np.int32)),
+                    pa.array(np.concatenate([n, all_n]).astype(np.int64))], names=["context", "symbol", "n"])
 
     return run
 
@@ -184,43 +179,63 @@ def _suffix_probability(tree: Tree, above: np.ndarray, symbols: np.ndarray, root
     return p
 
 
-def _grow(tree: Tree, rows: list, root: np.ndarray) -> None:
-    """Add the states of one depth, from (above, context, all, symbol, n) rows within the bounds of the shares."""
-    above, context, total, symbol, n = (np.array(c) for c in zip(*rows, strict=True))
-    above, context = above.astype(np.int64).view(np.uint64), context.astype(np.int64).view(np.uint64)
-    p = (n - DISCOUNT) / total
-    q = _suffix_probability(tree, above, symbol, root)
-    states, at = np.unique(context, return_inverse=True)
-    sum_p, sum_q = np.bincount(at, p), np.minimum(np.bincount(at, q), 1 - 1e-12)
-    gain = np.bincount(at, p * np.log(p / q)) + (1 - sum_p) * np.log((1 - sum_p) / (1 - sum_q))
+def _grow(tree: Tree, contexts: np.ndarray, above: np.ndarray, rows: np.ndarray, all_n: np.ndarray, root: np.ndarray) -> None:
+    """Add the states of one depth, from rows (place in contexts, symbol, n) and the counts of the contexts."""
+    at, symbol, n = rows
+    p = (n - DISCOUNT) / all_n[at]
+    q = _suffix_probability(tree, above[at], symbol, root)
+    sum_p, sum_q = (np.minimum(np.bincount(at, x, minlength=len(contexts)), 1 - 1e-12) for x in (p, q))
+    gain = np.bincount(at, p * np.log(p / q), minlength=len(contexts)) + (1 - sum_p) * np.log((1 - sum_p) / (1 - sum_q))
     kept = gain >= DIVERGENCE
     mine = kept[at]
-    keys = entry_keys(context[mine], symbol[mine])
+    keys = entry_keys(contexts[at[mine]], symbol[mine])
     order = np.argsort(keys)
-    tree.states.append(states[kept])
+    tree.states.append(contexts[kept])
     tree.backoff.append(np.log((1 - sum_p) / (1 - sum_q))[kept])
     tree.entries.append(keys[order])
     tree.logs.append(np.log(p[mine])[order])
 
 
-def grow_tree(spark: SparkSession, folder: str, chunks: DataFrame, totals: DataFrame, tokens: int, distinct: int) -> Tree:
-    """The tree of all training texts in the chunks."""
+def _keys_of_strings(strings: np.ndarray) -> list[np.ndarray]:
+    """Keys of contexts given as rows of symbols, the nearest first, for every depth up to their length."""
+    keys, key = [], np.zeros(len(strings), np.uint64)
+    for back in range(1, strings.shape[1] + 1):
+        key = mix(key * _STEP + strings[:, back - 1].astype(np.uint64) + np.uint64(back))
+        keys.append(key)
+    return keys
+
+
+def grow_tree(folder: str, chunks: DataFrame, totals: DataFrame, tokens: int, distinct: int) -> Tree:
+    """The tree of all training texts in the chunks; what comes to the driver is bounded by the shares."""
     frequent = totals.where(F.col("c") >= max(2, SYMBOL_SHARE * tokens)).select("word", "c").collect()
     words = np.array([r["word"] for r in frequent], np.int64).view(np.uint64)
     order = np.argsort(words)
-    share = (np.array([r["c"] for r in frequent], float)[order] + ADDED) / (tokens + ADDED * (distinct + 1))
+    counts = np.array([r["c"] for r in frequent], float)[order]
+    share = (counts + ADDED) / (tokens + ADDED * (distinct + 1))
     tree = Tree(words[order], float(1 - share.sum()), tokens, distinct)
     root = np.concatenate([[tree.other_share], share])
+    enough = max(2, CONTEXT_SHARE * tokens)
+    strings = np.concatenate([[0], 1 + np.flatnonzero(counts >= enough)])[:, None]
     for depth in range(1, DEPTH + 1):
-        counted = chunks.mapInArrow(_context_counts(folder, tree, depth), "above long, context long, symbol int, n long")
-        pairs = cut(counted.groupBy("above", "context", "symbol").agg(F.sum("n").alias("n")))
-        contexts = pairs.groupBy("context").agg(F.sum("n").alias("all")).where(F.col("all") >= max(2, CONTEXT_SHARE * tokens))
-        kept = pairs.where(F.col("n") >= max(2, ENTRY_SHARE * tokens)).join(contexts, "context")
-        rows = kept.select("above", "context", "all", "symbol", "n").collect()
+        keys = _keys_of_strings(strings)
+        order = np.argsort(keys[-1])
+        strings, contexts = strings[order], keys[-1][order]
+        above = keys[-2][order] if depth > 1 else np.zeros(len(order), np.uint64)
+        counted = chunks.mapInArrow(_context_counts(folder, tree, contexts, depth), "context int, symbol int, n long")
+        counted = counted.groupBy("context", "symbol").agg(F.sum("n").alias("n"))
+        rows = counted.where((F.col("symbol") < 0) | (F.col("n") >= max(2, ENTRY_SHARE * tokens))).collect()
         if not rows:
             break
-        _grow(tree, rows, root)
-        if not len(tree.states[-1]):
+        at, symbol, n = np.array(rows, np.int64).T
+        all_n = np.zeros(len(contexts), np.int64)
+        all_n[at[symbol < 0]] = n[symbol < 0]
+        known = (symbol >= 0) & (all_n[at] >= enough)
+        rows = np.stack([at[known], symbol[known], n[known]])
+        _grow(tree, contexts, above, rows, all_n, root)
+        # A string that goes on below a new state: the context of a row with the row's symbol as its nearest.
+        longer = np.concatenate([rows[1][:, None], strings[rows[0]]], axis=1)[rows[2] >= enough]
+        strings = longer[_find(tree.states[-1], _keys_of_strings(longer)[-2]) >= 0] if len(longer) else longer
+        if not len(strings):
             break
     return tree
 
@@ -279,13 +294,23 @@ def score(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     folder = scratch_folder(spark, "suffix-tree")
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    counted = cut(rows.mapInArrow(_chunk_writer(folder), "chunk long, word long, n long"))
-    totals = cut(counted.groupBy("word").agg(F.sum("n").alias("c")))
-    tokens, distinct = totals.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum((F.col("c") > 0).cast("long")), F.lit(0))).first()
-    chunks = cut(counted.select("chunk").distinct())
-    chunks = chunks.repartition(max(shuffle_width(spark), 1), "chunk")
+    with lean_shuffles(spark):
+        return _scored(rows, folder)
+
+
+def _scored(rows: DataFrame, folder: str) -> DataFrame:
+    spark = rows.sparkSession
+    by_word = Window.partitionBy("word")
+    counted = rows.mapInArrow(_chunk_writer(folder), "chunk long, word long, n long")
+    counted = counted.withColumn("c", F.sum("n").over(by_word)).withColumn("turn", F.row_number().over(by_word.orderBy("chunk")))
+    # A word has one row per chunk; Parquet keeps these much smaller than a checkpoint would.
+    counted.write.option("compression", "zstd").parquet(f"{folder}/words")
+    counted = spark.read.parquet(f"{folder}/words")
+    totals = counted.where("turn = 1 and c > 0").select("word", "c")
+    tokens, distinct = totals.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    chunks = cut(counted.select("chunk").distinct()).repartition(shuffle_width(spark), "chunk")
     # The tree's size is bounded by the shares, not by the input.
-    shared = spark.sparkContext.broadcast(grow_tree(spark, folder, chunks, totals, tokens, distinct))
-    known = counted.select("chunk", "word").join(totals, "word")
+    shared = spark.sparkContext.broadcast(grow_tree(folder, chunks, totals, tokens, distinct))
+    known = counted.select("chunk", "word", "c")
     return known.groupBy("chunk").applyInArrow(
         _scorer(folder, shared), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
