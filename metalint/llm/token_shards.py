@@ -14,8 +14,10 @@ before it; a null id is a key of its own.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,18 +36,22 @@ LEVELS = 24
 _NULL_ID = -(2**63)
 _DOC = np.dtype([("doc_id", "<i8"), ("first", "<i8"), ("n", "<i8")])
 _SLOT = np.dtype([("print", "<u4"), ("shard", "<u4"), ("first", "<i8"), ("n", "<i8")])
-_GAPS = str.maketrans("\n\t\r", "   ")
 _MEMO = 2_000_000
 _encoders: dict[str, WordEncoder] = {}
 
 
+def _pieces(text: str) -> list[str]:
+    return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+
+
 class WordEncoder(dict):
-    """Bytes of the ids of each piece between blanks, encoded by the tokenizers library when first met.
+    """Bytes of the ids of each piece between blanks, encoded by the tokenizers library when it is first met.
 
-    Only for tokenizers that never join characters across white space, which ``checked`` makes sure of.
+    Only for tokenizers that never join characters across white space, which the constructor checks on a sample; others encode whole texts.
     """
 
     def __init__(self, path: str, end_id: int):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         super().__init__()
@@ -54,24 +60,30 @@ class WordEncoder(dict):
         self.dtype = np.dtype("<u2" if size < 2**16 else "<u4")
         self.end = np.array([end_id], self.dtype).tobytes()
         sample = " Don't  stop\n\tat 3.14 of it,\r\n café <b> 42nd "
-        pieces = [i for w in sample.translate(_GAPS).split(" ") for i in self._ids(w)]
+        pieces = [i for w in _pieces(sample) for i in self._ids(w)]
         self.by_word = pieces == self._ids(sample)
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids if text else []
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= _MEMO:
+    def _learn(self, words: set[str]) -> None:
+        """Encode the words that are not known yet, all in one call."""
+        new = [w for w in words if w not in self]
+        if len(self) + len(new) > _MEMO:
             self.clear()
-        got = np.array(self._ids(word), self.dtype).tobytes()
-        if len(word) <= 64:
-            self[word] = got
-        return got
+            new = list(words)
+        ids = [got.ids for got in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        data, at = np.fromiter(chain.from_iterable(ids), self.dtype).tobytes(), 0
+        for word, own in zip(new, ids, strict=True):
+            self[word] = data[at:(at := at + len(own) * self.dtype.itemsize)]
 
-    def encode(self, text: str) -> bytes:
-        if self.by_word:
-            return b"".join(map(self.__getitem__, text.translate(_GAPS).split(" "))) + self.end
-        return np.array(self._ids(text), self.dtype).tobytes() + self.end
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text with the end id, as bytes."""
+        if not self.by_word:
+            return [np.array(self._ids(t), self.dtype).tobytes() + self.end for t in texts]
+        pieces = [_pieces(t) for t in texts]
+        self._learn(set().union(*pieces))
+        return [b"".join(map(self.__getitem__, p)) + self.end for p in pieces]
 
 
 def encoder(path: str, end_id: int) -> WordEncoder:
@@ -100,9 +112,9 @@ def _shard_writer(path: str, end_id: int, folder: str):
                          int((docs["doc_id"] == edge[0]).sum()), int((docs["doc_id"] == edge[1]).sum())))
             ids, table, total = [], [], 0
 
-        for batch in batches_of(batches, 1024):
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                data = code.encode(text or "")
+        for batch in batches_of(batches, 512):
+            coded = code.encode_all([t or "" for t in batch.column("text").to_pylist()])
+            for doc_id, data in zip(batch.column("doc_id").to_pylist(), coded, strict=True):
                 n = len(data) // code.dtype.itemsize
                 if table and total + n > SHARD_IDS:
                     close()
