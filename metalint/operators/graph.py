@@ -7,11 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, shuffle_width
+from ..session import cut
 from .ranking import first_by
 
 EDGES_PER_TASK = 1_000_000
-ROWS_PER_PARTITION = 100_000
 
 
 def _adjacency(edges: DataFrame, scope: list[str], per_task: int) -> tuple[DataFrame, DataFrame]:
@@ -32,10 +31,7 @@ def _adjacency(edges: DataFrame, scope: list[str], per_task: int) -> tuple[DataF
         adj = adj.join(fan, [*scope, "src"], "left").withColumn(
             "_piece", F.pmod(F.xxhash64("dst"), F.coalesce("_fan", F.lit(1))).cast("int")
         ).drop("_fan")
-    # Small graphs need few partitions, whatever the session's shuffle width is.
-    width = min(shuffle_width(edges.sparkSession), adj.count() // ROWS_PER_PARTITION + 1)
-    spread = adj.repartition(width, *keys) if width > 1 else adj.coalesce(1)
-    return cut(spread.sortWithinPartitions(*keys)), fan
+    return cut(adj.repartition(*keys).sortWithinPartitions(*keys)), fan
 
 
 def reachable(roots: DataFrame, edges: DataFrame, scope: Sequence[str], label: Sequence[str] = (),

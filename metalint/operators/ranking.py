@@ -70,21 +70,14 @@ def rank_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n
     return small.withColumn(name, F.row_number().over(plain)).unionByName(ranked)
 
 
-def joined_cells(df: DataFrame, keys: Sequence[str], value: str, sep: str = " | ",
-                 per_cell: int = 10_000, name: str = "cell") -> DataFrame:
-    """Distinct non-blank values of each group as one sorted, joined text cell.
+def listed_values(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Distinct non-blank values of each group as rows (keys, rank, value), ranked by the value without its case.
 
-    A cell holds at most `per_cell` values; longer lists go on in further rows (`part` 1, 2, ...), so no
-    value is lost and no task ever holds an unbounded list.
+    A list of any length is as many rows; values that differ by case only are one.
     """
     shown = df.where(F.col(value).rlike(r"\S")).withColumn("_k", F.lower(value))
-    values = shown.groupBy(*keys, "_k").agg(F.min(value).alias("_v"))
-    ranked = rank_in_group(values, keys, [F.col("_k")], "_rank")
-    part = F.floor((F.col("_rank") - 1) / per_cell).cast("int")
-    lists = ranked.groupBy(*keys, part.alias("part")).agg(
-        F.array_sort(F.collect_list(F.struct("_rank", "_v"))).alias("_l")
-    )
-    return lists.select(*keys, "part", F.array_join(F.transform("_l", lambda p: p["_v"]), sep).alias(name))
+    values = shown.groupBy(*keys, "_k").agg(F.min(value).alias(value))
+    return rank_in_group(values, keys, [F.col("_k")], "rank").select(*keys, "rank", value)
 
 
 def top_two(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

@@ -121,8 +121,8 @@ def _qualified_outcome(joined: DataFrame, ref_id: Sequence[str]) -> DataFrame:
         F.when(one, F.col("_o.tbl")).alias("to_tbl"),
         F.when(one, F.col("_o.obj")).alias("to_obj"),
         F.when(one, F.col("_o.typ")).alias("to_typ"),
-        F.when(both, F.concat(where, F.lit(" matches both a column and a measure.")))
-        .when(~one, F.concat(where, F.lit(" was not found."))).alias("reason"),
+        F.when(both, F.concat(where, F.lit(": a column and a measure share this name.")))
+        .when(~one, F.concat(where, F.lit(": no such object in the model."))).alias("reason"),
     )
 
 
@@ -149,9 +149,8 @@ def resolve_unqualified(refs: DataFrame, objects: DataFrame, scope: Sequence[str
         *ref_id,
         F.when(n == 1, "Resolved").when(n == 0, "NotFound").otherwise("Ambiguous").alias("outcome"),
         pick["tbl"].alias("to_tbl"), pick["obj"].alias("to_obj"), pick["typ"].alias("to_typ"),
-        F.when(n == 0, F.concat(F.lit("No measure or '"), context, F.lit("' column named '"), "obj",
-                                F.lit("' was found.")))
-        .when(n > 1, F.concat(F.lit("The unqualified reference '"), "obj", F.lit("' is ambiguous.")))
+        F.when(n == 0, F.concat(F.lit("["), "obj", F.lit("]: neither a measure nor a column of '"), context, F.lit("'.")))
+        .when(n > 1, F.concat(F.lit("["), "obj", F.lit("]: more than one object could be meant.")))
         .alias("reason"),
     )
 

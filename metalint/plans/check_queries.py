@@ -39,7 +39,7 @@ _ACTIONS_SQL = """
 @query("action_rules", f"""
     WITH {_ACTIONS_SQL},
     known AS (SELECT CAST(n_nationkey AS VARCHAR) AS k FROM nation),
-    caught AS (SELECT DISTINCT o_custkey AS visual FROM orders WHERE o_orderpriority = '1-URGENT' AND o_custkey < 200)
+    caught AS (SELECT DISTINCT o_custkey AS visual FROM orders WHERE o_orderpriority = '1-URGENT')
     SELECT event_id, 'PBI-NAV-008' AS rule_id, 'Information' AS severity FROM a
     WHERE enabled IS DISTINCT FROM false AND dynamic
     UNION ALL
@@ -60,7 +60,7 @@ def action_rules(t: Tables) -> DataFrame:
         F.when(F.col("event_id") % 3 != 0, F.col("target").cast("string")).alias("tgt"), F.lit(0).alias("report"),
     )
     known = t.table("nation").select(F.lit(0).alias("report"), F.col("n_nationkey").cast("string").alias("tgt"))
-    caught = t.table("orders").where("o_orderpriority = '1-URGENT' and o_custkey < 200").select(
+    caught = t.table("orders").where("o_orderpriority = '1-URGENT'").select(
         F.col("o_custkey").alias("visual")).distinct().withColumn("_c", F.lit(True))
     on = checks.is_enabled(F.col("enabled"))
     dynamic = a.where(checks.not_disabled(F.col("enabled")) & F.col("dynamic")).select(
@@ -178,7 +178,7 @@ def mode_outliers(t: Tables) -> DataFrame:
              CASE WHEN p_partkey % 6 = 0 THEN 'D' || (p_partkey % 4) END AS di,
              CASE WHEN p_partkey % 23 = 0 THEN 'UnsupportedComplex' ELSE 'NumericLiteral' END AS kind,
              CAST(CAST(floor(p_retailprice) AS INT) % 50 AS VARCHAR) AS value, p_partkey AS ord
-      FROM part WHERE p_partkey % 5 = 0),
+      FROM part),
     o AS (
       SELECT DISTINCT p_type AS card, CASE WHEN l_suppkey % 9 = 0 THEN 'Other' ELSE 'BRAND#' || (1 + l_suppkey % 25) END AS property,
              't' || (l_suppkey % 4) AS vt, CASE l_suppkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'p1' ELSE 'P2' END AS ps,
@@ -208,7 +208,7 @@ def mode_outliers(t: Tables) -> DataFrame:
 def theme_match(t: Tables) -> DataFrame:
     """Theme rules that speak about a saved value, and the comparison with the one found."""
     key, size = F.col("p_partkey"), F.col("p_size")
-    rules = t.table("part").where("p_partkey % 5 = 0").select(
+    rules = t.table("part").select(
         F.col("p_type").alias("card"), F.col("p_brand").alias("property"),
         F.when(size % 5 == 0, "*").otherwise(F.concat(F.lit("T"), size % 3)).alias("visual_type"),
         F.when(size % 2 == 0, "*").otherwise("P1").alias("preset"),

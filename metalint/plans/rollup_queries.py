@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.labels import is_review_candidate, location_label, state_label, state_order
 from ..functions.text import guard_formula
 from ..operators import containers, peers, resolve, rollups
-from ..operators.ranking import joined_cells
+from ..operators.ranking import listed_values
 from .graph_queries import states
 from .registry import query
 from .rules import catalogue
@@ -145,38 +145,51 @@ def locations(t: Tables) -> DataFrame:
         F.coalesce("context", F.lit("")).alias("context"))
 
 
-@query("usage_export", """
-    WITH p AS (
+_PLACES_SQL = """
+    p AS (
       SELECT DISTINCT model_id, obj, CASE WHEN context = 'Formatting' THEN report || ' > Report-level use'
                ELSE report || ' > page ' || page || ' > v' || visual END AS place
-      FROM v_bound WHERE obj % 25 = model_id),
-    c AS (SELECT model_id, obj, string_agg(place, ' | ' ORDER BY lower(place)) AS cell, count(*) AS n FROM p GROUP BY ALL)
+      FROM v_bound WHERE obj % 25 = model_id)"""
+
+
+def _places(t: Tables) -> DataFrame:
+    refs = t.bound_refs().where("obj % 25 = model_id")
+    formatting = F.col("context") == "Formatting"
+    place = location_label(
+        F.col("report").cast("string"), F.when(~formatting, F.concat(F.lit("page "), "page")),
+        F.when(~formatting, F.concat(F.lit("v"), "visual")), F.lit(None).cast("string"), F.lit("Filter"), F.lit(True))
+    return refs.select("model_id", "obj", place.alias("place")).distinct()
+
+
+@query("usage_places", f"""
+    WITH {_PLACES_SQL}
+    SELECT model_id, obj, row_number() OVER (PARTITION BY model_id, obj ORDER BY lower(place)) AS rank, place FROM p""")
+def usage_places(t: Tables) -> DataFrame:
+    """The places of every object in the export, one row each."""
+    return listed_values(_places(t), ["model_id", "obj"], "place")
+
+
+@query("usage_export", f"""
+    WITH {_PLACES_SQL},
+    c AS (SELECT model_id, obj, count(*) AS n FROM p GROUP BY ALL)
     SELECT s.model_id, s.tbl, CASE WHEN s.obj % 7 = 0 THEN '''=' || s.name ELSE s.name END AS object, s.obj, s.typ,
            CASE s.state WHEN 'DirectlyUsed' THEN 'Directly used' WHEN 'IndirectlyUsed' THEN 'Indirectly used'
              WHEN 'StructurallyRequired' THEN 'Structurally required' WHEN 'UsedOnlyByUnusedBranch' THEN 'Used only by unused branch'
              ELSE 'Apparently unused' END AS usage,
            CASE s.state WHEN 'ApparentlyUnused' THEN 0 WHEN 'UsedOnlyByUnusedBranch' THEN 1 WHEN 'StructurallyRequired' THEN 2
              WHEN 'IndirectlyUsed' THEN 3 ELSE 4 END AS review_order,
-           coalesce(c.n, 0) AS location_count, 0 AS part, coalesce(c.cell, '') AS locations,
+           coalesce(c.n, 0) AS location_count,
            CASE WHEN s.state IN ('ApparentlyUnused', 'UsedOnlyByUnusedBranch') THEN 'Yes' ELSE 'No' END AS review_candidate
     FROM v_state s LEFT JOIN c USING (model_id, obj) WHERE NOT s.system""")
 def usage_export(t: Tables) -> DataFrame:
-    """One export row per developer object, with its joined location cell."""
-    refs = t.bound_refs().where("obj % 25 = model_id")
-    formatting = F.col("context") == "Formatting"
-    place = location_label(
-        F.col("report").cast("string"), F.when(~formatting, F.concat(F.lit("page "), "page")),
-        F.when(~formatting, F.concat(F.lit("v"), "visual")), F.lit(None).cast("string"), F.lit("Filter"), F.lit(True))
-    places = refs.select("model_id", "obj", place.alias("place")).distinct()
-    cells = joined_cells(places, ["model_id", "obj"], "place", name="locations")
-    counts = places.groupBy("model_id", "obj").agg(F.count("*").alias("location_count"))
+    """One export row per developer object; `usage_places` lists its places."""
+    counts = _places(t).groupBy("model_id", "obj").agg(F.count("*").alias("location_count"))
     named = F.when(F.col("obj") % 7 == 0, F.concat(F.lit("="), "name")).otherwise(F.col("name"))
     state = F.col("state")
     return (
-        states(t)[0].where("not system").join(counts, ["model_id", "obj"], "left").join(cells, ["model_id", "obj"], "left")
+        states(t)[0].where("not system").join(counts, ["model_id", "obj"], "left")
         .select("model_id", "tbl", guard_formula(named).alias("object"), "obj", "typ", state_label(state).alias("usage"),
                 state_order(state).alias("review_order"), F.coalesce("location_count", F.lit(0).cast("long")).alias("location_count"),
-                F.coalesce("part", F.lit(0)).alias("part"), F.coalesce("locations", F.lit("")).alias("locations"),
                 F.when(is_review_candidate(state), "Yes").otherwise("No").alias("review_candidate"))
     )
 
@@ -203,12 +216,12 @@ _LIMITS_SQL = """
              CASE s_suppkey % 4 WHEN 0 THEN 'MayCreateDependencies' WHEN 1 THEN 'DependencyEffectUnknown'
                WHEN 2 THEN 'NoKnownDependencyEffect' ELSE 'MayInvalidateExistingEvidence' END AS impact,
              'ConstructNotSupported' AS reason, 'roles/' || (s_suppkey % 50) || '.tmdl' AS artifact_path
-      FROM supplier WHERE s_acctbal < 7500)"""
+      FROM supplier)"""
 
 
 def _limitations(t: Tables) -> DataFrame:
     k = F.col("s_suppkey")
-    return t.table("supplier").where("s_acctbal < 7500").select(
+    return t.table("supplier").select(
         F.col("s_nationkey").alias("model_id"), F.concat(F.lit("construct "), k % 3).alias("construct"),
         F.when(k % 2 == 0, "NotYetAnalyzed").otherwise("PartiallyAnalyzed").alias("support"),
         F.when(k % 4 == 0, "MayCreateDependencies").when(k % 4 == 1, "DependencyEffectUnknown")

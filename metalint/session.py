@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -29,7 +26,7 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named in spark.checkpoint.dir; fall back to a local one in local mode only."""
+    """Use the folder named in spark.checkpoint.dir; in local mode one below the warehouse where none is named."""
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
         return
@@ -37,7 +34,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if configured is None:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-        configured = tempfile.mkdtemp(prefix="metalint-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+        configured = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
     context.setCheckpointDir(configured)
 
 

@@ -25,16 +25,15 @@ def test_rank_in_group_splits_hot_groups_exactly(spark):
         assert len(got) == len(rows)
 
 
-def test_joined_cells_keeps_every_value(spark):
+def test_lists_keep_every_value(spark):
     df = _skewed(spark).select("k", F.concat(F.lit("V"), "v").alias("x"))
     want = defaultdict(set)
     for r in df.collect():
         want[r.k].add(r.x)
-    cells = ranking.joined_cells(df, ["k"], "x", per_cell=10).collect()
     got = defaultdict(list)
-    for r in sorted(cells, key=lambda r: (r.k, r.part)):
-        got[r.k] += r.cell.split(" | ")
-        assert len(r.cell.split(" | ")) <= 10
+    for r in sorted(ranking.listed_values(df, ["k"], "x").collect(), key=lambda r: (r.k, r.rank)):
+        got[r.k].append(r.x)
+        assert r.rank == len(got[r.k])
     assert {k: sorted(v, key=str.lower) for k, v in want.items()} == dict(got)
 
 
