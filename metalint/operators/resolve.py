@@ -15,9 +15,6 @@ def union_all(*dfs: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), dfs)
 
 
-def distinct_rows(df: DataFrame) -> DataFrame:
-    return df.dropDuplicates()
-
 
 def distinct_nodes(*dfs: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), dfs).distinct()
@@ -56,14 +53,6 @@ def bind_models(reports: DataFrame, models: DataFrame, project: Sequence[str] =
     return reports.join(one, [*p, "report"], "left")
 
 
-def all_refs(report_refs: DataFrame, page_refs: DataFrame, visual_refs: DataFrame) -> DataFrame:
-    """References of the three scopes; the narrower scope columns are null for the wider scopes."""
-    return union_all(
-        report_refs.withColumn("scope", F.lit("Report")),
-        page_refs.withColumn("scope", F.lit("Page")),
-        visual_refs.withColumn("scope", F.lit("Visual")),
-    )
-
 
 def exclude_report_measures(refs: DataFrame, report_measures: DataFrame, scope: Sequence[str]) -> DataFrame:
     """Drop measure references that name a measure of the report itself."""
@@ -78,14 +67,6 @@ def establishes_use(origin: Column, relevance: Column) -> Column:
     return ~F.coalesce(stale, F.lit(False))
 
 
-def object_universe(columns: DataFrame, measures: DataFrame, levels: DataFrame, items: DataFrame) -> DataFrame:
-    return union_all(
-        columns.withColumn("typ", F.lit("Column")),
-        measures.withColumn("typ", F.lit("Measure")),
-        levels.withColumn("typ", F.lit("HierarchyLevel")),
-        items.withColumn("typ", F.lit("CalculationItem")),
-    )
-
 
 def _named(objects: DataFrame, scope: Sequence[str]) -> DataFrame:
     """Columns and measures of a model by folded name; one row per identity."""
@@ -155,17 +136,6 @@ def resolve_unqualified(refs: DataFrame, objects: DataFrame, scope: Sequence[str
     )
 
 
-def resolve_tables(refs: DataFrame, tables: DataFrame, scope: Sequence[str]) -> DataFrame:
-    """References to a whole table; `tbl` comes back in the model's own spelling."""
-    s = list(scope)
-    known = with_folded(tables.select(*s, "tbl"), "tbl").groupBy(*s, "tbl_k").agg(F.min("tbl").alias("to_tbl"))
-    return with_folded(refs, "tbl").join(known, [*s, "tbl_k"]).drop("tbl_k")
-
-
-def resolve_functions(refs: DataFrame, functions: DataFrame, scope: Sequence[str]) -> DataFrame:
-    s = list(scope)
-    known = with_folded(functions.select(*s, "fn"), "fn").groupBy(*s, "fn_k").agg(F.min("fn").alias("to_fn"))
-    return with_folded(refs, "fn").join(known, [*s, "fn_k"]).drop("fn_k")
 
 
 def match_endpoint_pair(calls: DataFrame, relationships: DataFrame, scope: Sequence[str]) -> DataFrame:
@@ -226,8 +196,3 @@ def missing_target(rows: DataFrame, targets: DataFrame, scope: Sequence[str], ke
     known = targets.select(*scope, F.col(target_key or key).alias("_t")).distinct()
     on = [F.col(f"r.{c}") == F.col(f"k.{c}") for c in scope] + [F.col(f"r.{key}") == F.col("k._t")]
     return named.alias("r").join(known.alias("k"), on, "left_anti")
-
-
-def with_page_name(df: DataFrame, pages: DataFrame, scope: Sequence[str]) -> DataFrame:
-    names = pages.groupBy(*scope, "page").agg(F.min("display_name").alias("page_display"))
-    return df.join(names, [*scope, "page"], "left")

@@ -7,9 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.labels import is_review_candidate, state_label
 from ..functions.text import fold, guard_formula, is_blank
-from .ranking import top_n
+from .ranking import listed_values, top_n
 
 
 def inventory_counts(rows: DataFrame, levels: Sequence[Sequence[str]], counts: dict[str, Column]) -> DataFrame:
@@ -63,6 +62,13 @@ def connector_summary(sources: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def connector_lists(sources: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Queries, functions and location kinds of each family, one row each: keys, family, list, rank, value."""
+    columns = ("query", "function", "location_kind")
+    rows = sources.select(*keys, "family", F.explode(F.array(*[F.struct(F.lit(c).alias("list"), F.col(c).alias("value")) for c in columns])).alias("_x"))
+    return listed_values(rows.select(*keys, "family", "_x.*"), [*keys, "family", "list"], "value")
+
+
 def catalogue_counts(catalogue: DataFrame, findings: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """Findings per rule, rules without any kept with zero."""
     counted = findings.groupBy(*scope, "rule_id").agg(F.count("*").alias("_n"))
@@ -93,12 +99,18 @@ def facet_options(df: DataFrame, value: str, label: str, scope: Sequence[str] =
     ).drop("_many")
 
 
+LIMITATION_KEY = ["construct", "support", "impact", "reason"]
+
+
 def coverage_groups(limitations: DataFrame, scope: Sequence[str], artifact: str = "artifact_path") -> DataFrame:
-    """Limitations by (construct, support, impact, reason) with the distinct artifact count and first artifact."""
-    by = [*scope, "construct", "support", "impact", "reason"]
-    return limitations.select(*by, artifact).distinct().groupBy(*by).agg(
-        F.count("*").alias("artifacts"), F.min(artifact).alias("first_artifact")
-    )
+    """Limitations by (construct, support, impact, reason) with the distinct artifact count; `coverage_artifacts` lists them."""
+    by = [*scope, *LIMITATION_KEY]
+    return limitations.select(*by, artifact).distinct().groupBy(*by).agg(F.count("*").alias("artifacts"))
+
+
+def coverage_artifacts(limitations: DataFrame, scope: Sequence[str], artifact: str = "artifact_path") -> DataFrame:
+    """The artifacts of each limitation group, one row each with its rank."""
+    return listed_values(limitations, [*scope, *LIMITATION_KEY], artifact)
 
 
 def coverage_by_model(limitations: DataFrame, usage: DataFrame, scope: Sequence[str]) -> DataFrame:
@@ -111,14 +123,21 @@ def coverage_by_model(limitations: DataFrame, usage: DataFrame, scope: Sequence[
     return groups.join(artifacts, list(scope)).join(objects, list(scope), "left")
 
 
+SCHEMA_KEY = ["kind", "state", "family", "version", "expected_family", "baseline"]
+
+
 def schema_coverage(observations: DataFrame, scope: Sequence[str]) -> DataFrame:
-    """Documents whose schema is not verified exactly, grouped; artifacts are counted, the first one named."""
-    by = [*scope, "kind", "state", "family", "version", "expected_family", "uri"]
-    return observations.where("state <> 'VerifiedExact'").groupBy(*by).agg(
-        F.count("*").alias("documents"), F.min("rel_path").alias("first_document")
+    """Documents whose schema is not verified exactly, grouped without their URIs; `schema_documents` lists both."""
+    return observations.where("state <> 'VerifiedExact'").groupBy(*scope, *SCHEMA_KEY).agg(
+        F.count("*").alias("documents"), F.count_distinct("uri").alias("uris")
     )
 
 
+def schema_documents(observations: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """The documents of each group of `schema_coverage` with their URIs, one row each."""
+    return observations.where("state <> 'VerifiedExact'").select(*scope, *SCHEMA_KEY, "rel_path", "uri")
+
+
 def grouped_examples(df: DataFrame, keys: Sequence[str], example: str, n: int = 20) -> DataFrame:
     """Group size with at most n sorted examples (the limit is the feature); the rest is only counted."""
     sizes = df.groupBy(*keys).agg(F.count("*").alias("members"))
@@ -156,13 +175,6 @@ def role_labels(evidence: DataFrame, place: Sequence[str], role: str = "role") -
     return roles.select(*place, F.array_join(F.when(F.size(other) > 0, other).otherwise(F.col("_r")), ", ").alias("roles"))
 
 
-def export_columns(usage: DataFrame) -> DataFrame:
-    """Cells of the usage export, guarded against spreadsheet formulas."""
-    return usage.withColumns({
-        "usage": state_label(F.col("state")),
-        "review": F.when(is_review_candidate(F.col("state")), "Yes").otherwise("No"),
-    })
-
 
 def guard_all(df: DataFrame) -> DataFrame:
     text = {f.name for f in df.schema if f.dataType.simpleString() == "string"}

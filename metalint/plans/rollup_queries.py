@@ -231,13 +231,22 @@ def _limitations(t: Tables) -> DataFrame:
 
 @query("coverage_groups", f"""
     WITH {_LIMITS_SQL}
-    SELECT model_id, construct, support, impact, reason, count(DISTINCT artifact_path) AS artifacts, min(artifact_path) AS first_artifact
+    SELECT model_id, construct, support, impact, reason, count(DISTINCT artifact_path) AS artifacts
     FROM lim GROUP BY ALL""")
 def coverage_groups(t: Tables) -> DataFrame:
     """Limitations grouped per model."""
     return rollups.coverage_groups(_limitations(t), ["model_id"])
 
 
+@query("coverage_artifacts", f"""
+    WITH {_LIMITS_SQL},
+    a AS (SELECT DISTINCT model_id, construct, support, impact, reason, artifact_path FROM lim)
+    SELECT *, row_number() OVER (PARTITION BY model_id, construct, support, impact, reason ORDER BY lower(artifact_path)) AS rank FROM a""")
+def coverage_artifacts(t: Tables) -> DataFrame:
+    """The artifacts of every limitation group, one row each."""
+    return rollups.coverage_artifacts(_limitations(t), ["model_id"])
+
+
 @query("coverage_by_model", f"""
     WITH {_LIMITS_SQL},
     g AS (SELECT model_id, count(DISTINCT (construct, support, impact, reason)) AS groups, count(DISTINCT artifact_path) AS artifacts,
