@@ -154,18 +154,16 @@ def usage_locations(evidence: DataFrame, keys: Sequence[str]) -> DataFrame:
     A page's Filter place is dropped when the same page also has a Drillthrough one.
     """
     k = list(keys)
-    in_visual = evidence.where("visual is not null").select(
-        *k, "report", "page", "visual", F.lit("Visual").alias("kind"), F.lit(None).cast("string").alias("context")
-    )
-    wider = evidence.where("visual is null").select(
-        *k, "report", "page", F.lit(None).cast(evidence.schema["visual"].dataType).alias("visual"),
-        F.when(F.col("page").isNull(), "Report").otherwise("Page").alias("kind"), "context",
-    )
-    places = in_visual.unionByName(wider).dropDuplicates()
-    drill = places.where("kind = 'Page' and context = 'Drillthrough'").select(*k, "report", "page").distinct()
-    rest = places.where("not (kind = 'Page' and context <=> 'Filter')")
-    kept = places.where("kind = 'Page' and context <=> 'Filter'").join(drill, [*k, "report", "page"], "left_anti")
-    return rest.unionByName(kept)
+    in_visual = F.col("visual").isNotNull()
+    kind = F.when(in_visual, "Visual").when(F.col("page").isNull(), "Report").otherwise("Page")
+    context = F.when(~in_visual, F.col("context"))
+    places = evidence.select(*k, "report", "page", "visual", kind.alias("kind"), context.alias("context")).dropDuplicates()
+    # Contexts of a page are a short closed list, so its places fit one row until the dropped one is known.
+    at = [*k, "report", "page", "visual", "kind"]
+    grouped = places.groupBy(*at).agg(F.collect_list(F.struct("context")).alias("_c"))
+    drill = (F.col("kind") == "Page") & F.exists("_c", lambda c: c["context"] == "Drillthrough")
+    kept = F.when(drill, F.filter("_c", lambda c: ~c["context"].eqNullSafe(F.lit("Filter")))).otherwise(F.col("_c"))
+    return grouped.select(*at, F.explode(kept).alias("_p")).select(*at, F.col("_p.context").alias("context"))
 
 
 def role_labels(evidence: DataFrame, place: Sequence[str], role: str = "role") -> DataFrame:

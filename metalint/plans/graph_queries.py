@@ -12,7 +12,7 @@ from .views import Tables
 
 
 def _closure(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
-    direct = t.direct_roots()
+    direct = cut(t.direct_roots())  # closure and classification both start from these
     roots = direct.withColumn("kind", F.lit("direct")).unionByName(
         t.structural_roots().withColumn("kind", F.lit("structural"))
     )
