@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from metalint.session import cut, shuffle_width
 
-__all__ = ["ascii_lower", "cut", "documents", "drop_folder", "fresh", "lean_shuffles", "open_folder", "scratch_folder", "shuffle_width", "table", "WORD"]
+__all__ = ["ascii_lower", "cut", "documents", "drop_folder", "fresh", "hashed_sample", "lean_shuffles", "open_folder", "scratch_folder", "shuffle_width", "table", "WORD"]
 
 WORD = r"[^\x20\x09-\x0D]+"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -63,6 +63,17 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def hashed_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """About the rows with the smallest hashes, at most the given number: a training sample of bounded size.
+
+    Hashes are thinned out first, so a task hands on a few rows and not its own smallest ones. The same rows in any
+    run; all rows of a table that has no more.
+    """
+    hashed = F.xxhash64(F.col(key), F.lit("sample"))
+    every = max(1, df.count() // (2 * rows))
+    return df.where(F.pmod(hashed, F.lit(every)) == 0).orderBy(F.xxhash64(key), key).limit(rows)
+
+
 def scratch_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder name below the shared folder that the session names (below the warehouse where it names none)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from metalint.llm.common import cut
+from metalint.llm.common import cut, fresh, lean_shuffles
 from metalint.llm.components import connected
 from metalint.llm.wordhash import batches_of, hash_words, mix
 
@@ -33,7 +33,10 @@ TREES = 12
 EARLY = 3
 COORDS = 128
 TINY = 8
-NODE = 512
+#: A node of so many sets with so many shingles is compared in one task; a random block of a larger one is smaller.
+NODE = 2048
+NODE_SHINGLES = 1_000_000
+BLOCK = 192
 LEVELS = 14
 #: Of a pair's minwise values so many must agree; a pair at the threshold has fewer with a chance below 1 in 100,000.
 AGREE = 0.58
@@ -118,48 +121,53 @@ def _confirm_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def common_counts(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections, from shingles that two or more of the sets have, some columns at a time."""
+def common_counts(sets: list[np.ndarray], asking: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of some of the sets with all, from shingles that two or more sets have, some at a time."""
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    values, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     rank = np.cumsum(count > 1) - 1
     shared = count[column] > 1
     owner, column = owner[shared], rank[column[shared]]
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
-    total = np.zeros((len(sets), len(sets)), np.float32)
-    width = 4096
+    total = np.zeros((len(asking), len(sets)), np.float32)
+    width = 2048
     for at in range(0, int((count > 1).sum()), width):
         lo, hi = np.searchsorted(column, (at, at + width))
         part = np.zeros((len(sets), width), np.float32)
         part[owner[lo:hi], column[lo:hi] - at] = 1
-        total += part @ part.T
+        total += part[asking] @ part.T
     return total
 
 
 def _node_links(group: pa.Table) -> pa.Table:
-    """A spanning forest of the links in one node. Sets of one component count as joined already."""
+    """A spanning forest of the links in one node. Sets of one component count as joined already.
+
+    The largest component asks for nothing: what links it to others shows from their side.
+    """
     group = group.combine_chunks()
     ids = group.column("uid").to_numpy()
     _, label = np.unique(group.column("label").to_numpy(), return_inverse=True)
     label = label.copy()
     sets = shingle_sets(group.column("text").combine_chunks())
     sizes = np.array([len(s) for s in sets])
-    common = common_counts(sets)
-    hits = 100 * common >= PERCENT * (sizes[:, None] + sizes[None, :] - common)
+    asking = np.flatnonzero(label != np.bincount(label).argmax())
     a, b = [], []
-    for i in range(len(ids)):
-        for j in np.flatnonzero(hits[i] & (label != label[i])):
-            if label[j] != label[i]:
-                label[label == label[j]] = label[i]
-                a.append(min(ids[i], ids[j]))
-                b.append(max(ids[i], ids[j]))
+    if len(asking):
+        common = common_counts(sets, asking)
+        for k, i in enumerate(asking):
+            hits = 100 * common[k] >= PERCENT * (sizes[i] + sizes - common[k])
+            for j in np.flatnonzero(hits & (label != label[i])):
+                if label[j] != label[i]:
+                    label[label == label[j]] = label[i]
+                    a.append(min(ids[i], ids[j]))
+                    b.append(max(ids[i], ids[j]))
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def _sized(rows: DataFrame) -> DataFrame:
     """Rows of nodes with two or more sets, with the node's size; counted before they are joined."""
-    sizes = rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = rows.groupBy("node").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight")).where("n > 1")
     return cut(rows.join(sizes, "node"))
 
 
@@ -171,8 +179,8 @@ def _branch(rows: DataFrame, reps: DataFrame, level: int) -> DataFrame:
 
     first = F.pmod(F.xxhash64(F.col("node"), F.lit(2 * level)), F.lit(COORDS)).cast("int")
     second = F.pmod(F.xxhash64(F.col("node"), F.lit(2 * level + 1)), F.lit(3 * COORDS)).cast("int")
-    return rows.select("node", "uid", "early").join(reps.select("uid", "sig"), "uid").select(
-        "uid", "early",
+    return rows.select("node", "uid", "early", "n_shingles").join(reps.select("uid", "sig"), "uid").select(
+        "uid", "early", "n_shingles",
         F.explode(F.when((second < COORDS) & (second != first), F.array(child(first), child(second))).otherwise(F.array(child(first)))).alias("node"),
     )
 
@@ -201,16 +209,21 @@ def _check_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _check_blocks(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """rows: (uid, label, block), at most NODE rows a block by expectation."""
+    """rows: (uid, label, block)."""
     return rows.join(texts, "uid").groupBy("block").applyInArrow(_node_links, "a long, b long")
 
 
-def _blocks(n: Column) -> Column:
-    return F.ceil(n / (NODE * 3 // 4)).cast("int")
+def _fits() -> Column:
+    return (F.col("n") <= NODE) & (F.col("weight") <= NODE_SHINGLES)
+
 
+def _blocks() -> Column:
+    """Random blocks of a node: as many sets and shingles each as one task compares quickly."""
+    return F.ceil(F.greatest(F.col("n") / BLOCK, F.col("weight") / (NODE_SHINGLES // 4))).cast("int")
 
-def _block_of(n: Column) -> Column:
-    return F.pmod(F.xxhash64(F.col("uid"), F.col("node"), F.lit(3)), _blocks(n)).cast("int")
+
+def _own_block() -> Column:
+    return F.pmod(F.xxhash64(F.col("uid"), F.col("node"), F.lit(3)), _blocks()).cast("int")
 
 
 def _with_labels(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -231,9 +244,9 @@ def _late_links(rows: DataFrame, reps: DataFrame, labels: DataFrame, texts: Data
     uids = rows.select("uid").distinct()
     reps, texts, labels = (cut(df.join(uids, "uid", "left_semi")) for df in (reps.select("uid", "sig"), texts, labels))
     while True:
-        small = rows.where(F.col("n") <= NODE).withColumn("block", F.col("node"))
+        small = rows.where(_fits()).withColumn("block", F.col("node"))
         out.append(cut(_check_blocks(small.select("uid", "label", "block"), texts)))
-        large = rows.where(F.col("n") > NODE)
+        large = rows.where(~_fits())
         if large.isEmpty():
             return out
         if level > LEVELS:
@@ -241,19 +254,19 @@ def _late_links(rows: DataFrame, reps: DataFrame, labels: DataFrame, texts: Data
         rows = cut(_mixed(_with_labels(_sized(_branch(large, reps, level)), labels)))
         level += 1
     own, other = F.col("own"), F.col("other")
-    pairs = large.withColumn("own", _block_of(F.col("n"))).withColumn("other", F.explode(F.sequence(F.lit(0), _blocks(F.col("n")) - 1)))
+    pairs = large.withColumn("own", _own_block()).withColumn("other", F.explode(F.sequence(F.lit(0), _blocks() - 1)))
     block = F.xxhash64("node", F.least(own, other), F.greatest(own, other))
     out.append(cut(_check_blocks(pairs.select("uid", "label", block.alias("block")), texts)))
     return out
 
 
-def near_groups(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of docs (doc_id, text; other columns are not looked at).
+def _groups(docs: DataFrame) -> DataFrame:
+    """(doc_id, th, n_shingles, component_id, first) for every row: th is its text's hash; first, that it leads its component."""
+    with lean_shuffles(docs.sparkSession):
+        return cut(_joined_groups(docs))
 
-    Nulls and texts without words have no shingles and are their own component. Repeated rows are equal texts and
-    share a component; each of them counts as kept if its doc_id is the smallest. A null doc_id is never the
-    smallest, unless the whole component has none. An empty table gives an empty result.
-    """
+
+def _joined_groups(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     keyed = docs.withColumn("th", F.xxhash64("text"))
     signed = cut(keyed.mapInArrow(_signatures, "doc_id long, th long, n_shingles long, d1 long, d2 long, roots array<long>, sig array<smallint>"))
@@ -263,7 +276,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     reps = cut(reps.select(*sets, "rep.*").withColumn("uid", F.monotonically_increasing_id()))
 
     early = F.array_contains(F.array(*[F.lit(i) for i, (tree, _) in enumerate(ROOTS) if tree < EARLY]), F.col("i"))
-    level1 = _sized(reps.select("uid", F.posexplode("roots").alias("i", "node")).select("uid", "node", early.alias("early")))
+    level1 = _sized(reps.select("uid", "n_shingles", F.posexplode("roots").alias("i", "node")).select("uid", "n_shingles", "node", early.alias("early")))
     pairs = _tiny_pairs(level1, reps)
     level2 = _sized(_branch(level1.where(F.col("n") > TINY), reps, 2))
 
@@ -273,7 +286,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     texts = cut(wanted.join(keyed, same).select("uid", "text").dropDuplicates(["uid"]))
 
     early = level2.where("early").withColumn("label", F.col("uid")).withColumn(
-        "block", F.when(F.col("n") <= NODE, F.col("node")).otherwise(F.xxhash64("node", _block_of(F.col("n")))))
+        "block", F.when(_blocks() == 1, F.col("node")).otherwise(F.xxhash64("node", _own_block())))
     links = cut(_check_pairs(pairs.where("early"), texts).union(_check_blocks(early.select("uid", "label", "block"), texts)))
     labels = connected(links)
 
@@ -286,18 +299,34 @@ def near_groups(docs: DataFrame) -> DataFrame:
         links = links.union(part)
     labels = connected(links)
 
-    named = signed.where("n_shingles > 0").select("doc_id", *sets).join(reps.select(*sets, "uid"), sets)
-    named = cut(_with_labels(named.select("doc_id", "n_shingles", "uid"), labels).select("doc_id", "n_shingles", "label"))
-    smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    out = named.join(smallest, "label").select("doc_id", "n_shingles", "component_id")
-    out = out.union(signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    # Ids before nulls, then the text's hash.
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    named = signed.where("n_shingles > 0").select("doc_id", "th", *sets).join(reps.select(*sets, "uid"), sets)
+    named = cut(_with_labels(named.select("doc_id", "th", "n_shingles", "uid"), labels).select("doc_id", "th", "n_shingles", "label"))
+    smallest = named.groupBy("label").agg(F.min(place).alias("least"))
+    out = named.join(smallest, "label").select(
+        "doc_id", "th", "n_shingles", F.col("least.doc_id").alias("component_id"), place.eqNullSafe(F.col("least")).alias("first"))
+    return out.union(signed.where("n_shingles = 0").select("doc_id", "th", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True)))
+
+
+def near_groups(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of docs (doc_id, text; other columns are not looked at).
+
+    Nulls and texts without words have no shingles and are their own component. Repeated rows are equal texts and
+    share a component; each of them counts as kept if its doc_id is the smallest. A null doc_id is never the
+    smallest, unless the whole component has none. An empty table gives an empty result.
+    """
+    named = _groups(docs)
+    return named.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """docs, one row of each group: the one with the smallest doc_id. Of repeated rows with that doc_id one stays.
+    """docs, one row of each group: the one with the smallest doc_id, by its text's hash where several rows have that.
 
-    Rows with a null doc_id stay only if no document of the group has an id.
+    Of equal rows one stays. A row with a null doc_id stays only if no row of its group has an id.
     """
-    kept = near_groups(docs).where("kept").select("doc_id").distinct().withColumn("near_kept", F.lit(True))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+    own, of_id, of_text = fresh(docs, "near_th", "kept_id", "kept_th")
+    kept = _groups(docs).where("first").select(F.col("doc_id").alias(of_id), F.col("th").alias(of_text)).distinct()
+    named = docs.withColumn(own, F.xxhash64(F.coalesce("text", F.lit(""))))
+    rows = named.join(kept, F.col("doc_id").eqNullSafe(F.col(of_id)) & (F.col(own) == F.col(of_text)), "left_semi")
+    return rows.dropDuplicates(["doc_id", own]).drop(own)
