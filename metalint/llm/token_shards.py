@@ -36,7 +36,8 @@ LEVELS = 24
 _NULL_ID = -(2**63)
 _DOC = np.dtype([("doc_id", "<i8"), ("first", "<i8"), ("n", "<i8")])
 _SLOT = np.dtype([("print", "<u4"), ("shard", "<u4"), ("first", "<i8"), ("n", "<i8")])
-_MEMO = 2_000_000
+#: Words that a worker remembers, about 200 bytes each; a worker outlives its task.
+_MEMO = 600_000
 _encoders: dict[str, WordEncoder] = {}
 
 
