@@ -2,7 +2,7 @@
 
 The classifier is a multinomial logistic regression on hashed words and word pairs of a paragraph (a line). It is
 trained on varied copies of the templates below (words dropped, cut short, framed by other words) and, as the unknown
-class, on paragraphs of the corpus: a bounded sample of ``UNKNOWN_ROWS`` rows, the ones with the smallest hashed ids.
+class, on paragraphs of the corpus: a hashed sample of at most ``UNKNOWN_ROWS`` rows.
 Scores become probabilities by one temperature and one offset of the unknown class, both fitted on held-out rows. A
 paragraph counts if a family has ``SURE`` probability or more and the paragraph holds at least ``CONFIRM`` of the
 word triples of a template of that family.
@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from metalint.llm.common import hashed_sample
 from metalint.llm.wordhash import _LOWER, batches_of, hash_spans, mix, text_bytes, word_spans
 
 BUCKETS = 1 << 14
@@ -168,9 +169,9 @@ def train(docs: DataFrame) -> Model:
     These are the first UNKNOWN_LINES lines of UNKNOWN_ROWS rows, so the training set has a bound that no input
     changes. Paragraphs that hold CONFIRM of a template's word triples are left out of the unknown class.
     """
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
     lines = F.transform(F.slice(F.split("text", "\n"), 1, UNKNOWN_LINES), lambda x: F.substring(x, 1, UNKNOWN_CHARS))
-    sample = docs.where("text is not null and doc_id is not null").select("doc_id", lines.alias("lines")).orderBy(*order).limit(UNKNOWN_ROWS).collect()
+    known = docs.where("text is not null and doc_id is not null").select("doc_id", "text")
+    sample = hashed_sample(known, "doc_id", UNKNOWN_ROWS).select("doc_id", lines.alias("lines")).collect()
     texts, classes = _variants()
     triples = template_triples()
     unknown = [p for r in sample for p in r["lines"] if _WORD.search(p)] or ["no licence here"]

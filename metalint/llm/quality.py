@@ -1,7 +1,7 @@
 """Quality rules: plain counts of a text, and a logistic regression on hashed word and character n-grams.
 
-The regression is fitted on at most ``LABELLED`` rows of each class of the labelled table (those with the smallest
-hashed ids, so any run takes the same), three quarters of them for the weights and one quarter for the calibration
+The regression is fitted on at most ``LABELLED`` rows of each class of the labelled table (a hashed sample,
+so any run takes the same), three quarters of them for the weights and one quarter for the calibration
 (Platt scaling, weighted to the class shares of all labelled rows). A text's features are the shares of its words,
 word pairs and character triples in ``BUCKETS`` hash buckets each, so its score is three averages of weights: whole
 texts are scored batch by batch without building a vector.
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metalint.llm.common import fresh
+from metalint.llm.common import fresh, hashed_sample
 from metalint.llm.wordhash import _SPACE, batches_of, hash_spans, mix, sums_between, text_bytes, word_spans
 
 BUCKETS = 1 << 17
@@ -185,8 +185,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     counts = dict(labels.groupBy("good").count().collect())
     if min(counts.get(True, 0), counts.get(False, 0)) < 8:
         return None
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    picked = labels.where("good").orderBy(*order).limit(LABELLED).union(labels.where("not good").orderBy(*order).limit(LABELLED))
+    picked = hashed_sample(labels.where("good"), "doc_id", LABELLED).union(hashed_sample(labels.where("not good"), "doc_id", LABELLED))
     # At most 2 * LABELLED ids: a bound that no input changes.
     rows = texts.join(F.broadcast(picked), "doc_id").mapInArrow(_compact, "doc_id long, good boolean, where binary, share binary")
     rows = sorted({r["doc_id"]: r for r in rows.toLocalIterator()}.items())
