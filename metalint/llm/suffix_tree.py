@@ -1,17 +1,16 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
-Symbols are the words that make up at least ``SYMBOL_SHARE`` of the training tokens, the end of a text, and one
-symbol for all other words, which are told apart by their base probability. A context is a string of up to ``DEPTH``
-symbols with at least ``CONTEXT_SHARE`` of the training tokens after it; it becomes a state if its shorter suffix is
-one and its next-symbol distribution diverges from that of the suffix by ``DIVERGENCE`` nats. A state keeps the next
-symbols with at least ``ENTRY_SHARE`` of the training tokens (twice at least), less a discount, and hands the rest of
-its mass to its suffix's distribution over the others, so every distribution sums to one. A token is scored in the
-state of its longest suffix.
-
-The shares bound what is broadcast whatever the input: 1 / SYMBOL_SHARE symbols, and 1 / CONTEXT_SHARE states and
-1 / ENTRY_SHARE next symbols for each depth. A longer context is only counted where the counts of the depth before
-say that it can have its share. Base counts cover every word and are never broadcast: texts are cut into
-chunks, each word's total goes back to the chunks that have the word, and each chunk is scored with its own words.
+Symbols are the words that occur ``MIN_COUNT`` times or more in the training texts, the end of a text, and one symbol
+for all other words, which are told apart by their base probability. A context is a string of up to ``DEPTH`` symbols;
+its next symbols are those that follow it ``MIN_COUNT`` times or more. It becomes a state if its shorter suffix is one
+and its next-symbol distribution diverges from that of the suffix by ``DIVERGENCE`` nats. A state gives its next
+symbols their share, less a discount, and hands the rest of its mass to its suffix's distribution over the others, so
+every distribution sums to one. A token is scored in the state of its longest suffix.
+
+All counts are absolute, so what is learnt grows with the input, and nothing that is learnt comes to the driver or is
+broadcast. Texts are cut into chunks. For each depth a chunk sends its distinct contexts and next symbols; their totals
+are counted, states picked, and each chunk gets a file with those that it has itself, from which it is scored. A next
+symbol is only counted at a depth where it was found at the depth before, which its total there cannot be below.
 """
 
 from __future__ import annotations
@@ -23,16 +22,15 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyspark
+from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from metalint.llm.common import cut, lean_shuffles, open_folder, scratch_folder, shuffle_width, write_whole
+from metalint.llm.common import cut, drop_folder, lean_shuffles, open_folder, scratch_folder, shuffle_width, write_whole
 from metalint.llm.wordhash import batches_of, hash_words, mix, sums_between
 
-DEPTH = 2
-SYMBOL_SHARE = 2e-5
-CONTEXT_SHARE = 5e-5
-ENTRY_SHARE = 1e-6
+DEPTH = 3
+MIN_COUNT = 2
 DIVERGENCE = 0.01
 DISCOUNT = 0.5
 ADDED = 0.1
@@ -45,7 +43,10 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 @dataclass
 class Tree:
-    """Symbols by word hash, and per depth the states with their backing-off weights and next-symbol probabilities."""
+    """Symbols by word hash, and per depth the states with their backing-off weights and next-symbol probabilities.
+
+    names are the words' symbols, 1 and up where none are given; a chunk's tree names a word by its hash.
+    """
 
     words: np.ndarray
     other_share: float
@@ -55,12 +56,13 @@ class Tree:
     backoff: list[np.ndarray] = field(default_factory=list)
     entries: list[np.ndarray] = field(default_factory=list)
     logs: list[np.ndarray] = field(default_factory=list)
+    names: np.ndarray | None = None
 
     def symbols(self, tokens: np.ndarray) -> np.ndarray:
-        """1 and up for symbols in order of their hashes, 0 for every other word."""
-        at = np.searchsorted(self.words, tokens)
-        at[at == len(self.words)] = 0
-        return np.where(self.words[at] == tokens, at + 1, 0) if len(self.words) else np.zeros(len(tokens), np.int64)
+        """The symbol of each token, 0 for every word that is none."""
+        names = np.arange(1, len(self.words) + 1) if self.names is None else self.names
+        at = _find(self.words, tokens)
+        return np.where(at >= 0, names[at], names.dtype.type(0)) if len(self.words) else np.zeros(len(tokens), names.dtype)
 
 
 def is_held_out(doc_id: int | None) -> bool:
@@ -102,16 +104,23 @@ def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(table[at] == keys, at, -1)
 
 
-def _chunk_name(chunk: int) -> str:
-    return f"chunk-{chunk >> 20:06d}-{chunk & 0xFFFFF:06d}.arrow"
+def _chunk_name(chunk: int, part: str) -> str:
+    return f"{part}-{chunk >> 20:06d}-{chunk & 0xFFFFF:06d}.arrow"
 
 
-def _read_chunk(folder: str, chunk: int) -> pa.Table:
+def _read_part(folder: str, chunk: int, part: str) -> pa.Table:
     store, path = open_folder(folder)
-    with store.open_input_file(f"{path}/{_chunk_name(chunk)}") as src:
+    with store.open_input_file(f"{path}/{_chunk_name(chunk, part)}") as src:
         return pa.ipc.open_file(src).read_all().combine_chunks()
 
 
+def _write_part(folder: str, chunk: int, part: str, table: pa.Table) -> None:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_file(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(table)
+    write_whole(folder, _chunk_name(chunk, part), sink.getvalue())
+
+
 def _chunk_writer(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Writes a task's rows as chunks and gives each chunk's words with their training counts."""
 
@@ -122,10 +131,7 @@ def _chunk_writer(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
             nonlocal made, held, size
             table = pa.Table.from_batches(held).combine_chunks()
             chunk = piece << 20 | made
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_file(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                out.write_table(table)
-            write_whole(folder, _chunk_name(chunk), sink.getvalue())
+            _write_part(folder, chunk, "texts", table)
             tokens, bounds = tokens_of(table.column("text").combine_chunks())
             train = np.repeat([not is_held_out(d) for d in table.column("doc_id").to_pylist()], np.diff(bounds))
             words, at = np.unique(tokens, return_inverse=True)
@@ -148,28 +154,124 @@ def _chunk_writer(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
     return run
 
 
-def _context_counts(folder: str, tree: Tree, wanted: np.ndarray, depth: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Counts of (context, symbol) in the training texts of each chunk for the wanted contexts; symbol -1 has all."""
+@dataclass(frozen=True)
+class Root:
+    """What all base probabilities have in common."""
+
+    tokens: int
+    distinct: int
+    other_share: float
+
+    def logs(self, counts: np.ndarray) -> np.ndarray:
+        return np.log((counts + ADDED) / (self.tokens + ADDED * (self.distinct + 1)))
+
+
+def _part_writer(folder: str, part: str) -> Callable[[pa.Table], pa.Table]:
+    """Keeps what a chunk is sent, in order of its keys, and tells how many of these are words or next symbols."""
+
+    def run(group: pa.Table) -> pa.Table:
+        chunk, key = group.column("chunk")[0].as_py(), group.column("key").to_numpy().view(np.uint64)
+        order = pa.array(np.argsort(key))
+        _write_part(folder, chunk, part, group.drop_columns(["chunk"]).take(order).combine_chunks())
+        state = group.column("state").to_numpy()
+        return pa.table({"chunk": pa.array([chunk], pa.int64()), "n": pa.array([int((~state).sum())], pa.int64())})
+
+    return run
+
+
+def _send_back(rows: DataFrame, folder: str, part: str) -> DataFrame:
+    """(chunk, n) of rows (chunk, key, state, value), each chunk's rows kept in its file."""
+    return cut(rows.select("chunk", "key", "state", "value").groupBy("chunk").applyInArrow(_part_writer(folder, part), "chunk long, n long"))
+
+
+def _words_of(folder: str, chunk: int, root: Root) -> tuple[Tree, np.ndarray, np.ndarray]:
+    """A tree without states of the symbols in a chunk, the chunk's words and their counts."""
+    table = _read_part(folder, chunk, "words")
+    words, counts = table.column("key").to_numpy().view(np.uint64), table.column("value").to_numpy()
+    named = words[counts >= MIN_COUNT]
+    return Tree(named, root.other_share, root.tokens, root.distinct, names=named), words, counts
+
+
+def _found(folder: str, chunk: int, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """States and backing-off weights, next symbols and log probabilities (not a number outside states) of a depth."""
+    store, path = open_folder(folder)
+    if store.get_file_info(f"{path}/{_chunk_name(chunk, f'depth{depth}')}").type == fs.FileType.NotFound:
+        return np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.uint64), np.zeros(0)
+    table = _read_part(folder, chunk, f"depth{depth}")
+    key, value = table.column("key").to_numpy().view(np.uint64), table.column("value").to_numpy()
+    state = table.column("state").to_numpy()
+    return key[state], value[state], key[~state], value[~state]
+
+
+def _context_rows(folder: str, root: Root, depth: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(chunk, context, key, logq, n): distinct contexts with next symbols of each chunk and their training counts.
+
+    key names context and symbol, or is the context for the count of all that follows it. logq is the symbol's log
+    probability after the context's suffix, null where that is no state. Texts held out have rows that count nothing.
+    """
+
+    def rows_of(chunk: int) -> Iterator[pa.RecordBatch]:
+        table = _read_part(folder, chunk, "texts")
+        tokens, bounds = tokens_of(table.column("text").combine_chunks())
+        train = np.repeat([not is_held_out(d) for d in table.column("doc_id").to_pylist()], np.diff(bounds))
+        tree, words, counts = _words_of(folder, chunk, root)
+        symbols = tree.symbols(tokens)
+        keys = context_keys(symbols, bounds, depth)
+        if depth == 1:
+            logq = np.where(symbols == 0, np.log(root.other_share), root.logs(counts[np.searchsorted(words, tokens)]))
+            found = whole = np.ones(len(tokens), bool)
+        else:
+            *_, entries, logs = _found(folder, chunk, depth - 1)
+            place = _find(entries, entry_keys(keys[-2], symbols))
+            found = place >= 0
+            logq = logs[place] if len(logs) else np.zeros(len(tokens))
+            # As the string of a context is one of these too, a context without it follows once at most.
+            whole = np.concatenate([[True], found[:-1]])
+            for back in range(depth):
+                whole[np.minimum(bounds[:-1] + back, bounds[1:] - 1)] = True
+        context, key = keys[-1][found], entry_keys(keys[-1][found], symbols[found])
+        key, first, at = np.unique(key, return_index=True, return_inverse=True)
+        n = np.bincount(at, train[found], minlength=len(key))
+        all_key, at = np.unique(keys[-1][whole], return_inverse=True)
+        all_n = np.bincount(at, train[whole], minlength=len(all_key))
+        logq = np.concatenate([logq[found][first], np.full(len(all_key), np.nan)])
+        columns = [np.concatenate([context[first], all_key]).view(np.int64), np.concatenate([key, all_key]).view(np.int64), logq, np.concatenate([n, all_n]).astype(np.int64)]
+        for lo in range(0, len(logq), 65536):
+            context, key, q, n = (c[lo:lo + 65536] for c in columns)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(q), chunk, np.int64)), pa.array(context), pa.array(key), pa.array(q, mask=np.isnan(q)), pa.array(n)],
+                names=["chunk", "context", "key", "logq", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in batch.column("chunk").to_pylist():
-                table = _read_chunk(folder, chunk)
-                keep = pa.array([not is_held_out(d) for d in table.column("doc_id").to_pylist()])
-                tokens, bounds = tokens_of(table.filter(keep).column("text").combine_chunks())
-                symbols = tree.symbols(tokens)
-                place = _find(wanted, context_keys(symbols, bounds, depth)[-1])
-                inside = place >= 0
-                both, n = np.unique(place[inside] << 32 | symbols[inside], return_counts=True)
-                places, all_n = np.unique(place[inside], return_counts=True)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.concatenate([both >> 32, places]).astype(np.int32)),
-                    pa.array(np.concatenate([both & 0xFFFFFFFF, np.full(len(places), -1)]).astype(np.int32)),
-                    pa.array(np.concatenate([n, all_n]).astype(np.int64))], names=["context", "symbol", "n"])
+                yield from rows_of(chunk)
 
     return run
 
 
+def _grow_depth(folder: str, chunks: DataFrame, root: Root, depth: int) -> int:
+    """Count the contexts of one depth, pick its states and send every chunk its own; the number of symbols sent."""
+    spark, place = chunks.sparkSession, f"{folder}/counts{depth}"
+    by_key = Window.partitionBy("key")
+    rows = chunks.mapInArrow(_context_rows(folder, root, depth), "chunk long, context long, key long, logq double, n long")
+    rows = rows.withColumn("c", F.sum("n").over(by_key)).withColumn("first", F.min("chunk").over(by_key) == F.col("chunk"))
+    rows.where(F.col("c") >= MIN_COUNT).drop("n").write.option("compression", "zstd").parquet(place)
+    rows = spark.read.parquet(place)
+    entry, left = F.col("key") != F.col("context"), F.col("c") - DISCOUNT
+    states = rows.where("first").groupBy("context").agg(
+        F.max(F.when(~entry, F.col("c"))).alias("all_n"), F.sum(F.when(entry, left)).alias("p"), F.sum(F.when(entry, F.exp("logq"))).alias("q"),
+        F.sum(F.when(entry, left * (F.log(left) - F.col("logq")))).alias("gain")).where("q is not null")
+    rest_p, rest_q = (1 - F.least(x, F.lit(1 - 1e-12)) for x in (F.col("p") / F.col("all_n"), F.col("q")))
+    gain = F.col("gain") / F.col("all_n") - F.col("p") / F.col("all_n") * F.log("all_n") + rest_p * F.log(rest_p / rest_q)
+    states = states.where(gain >= DIVERGENCE).select("context", "all_n", F.log(rest_p / rest_q).alias("backoff"))
+    sent = rows.join(states, "context", "left").where(entry | F.col("all_n").isNotNull())
+    sent = sent.select("chunk", "key", (~entry).alias("state"), F.when(entry, F.log(left / F.col("all_n"))).otherwise(F.col("backoff")).alias("value"))
+    n = _send_back(sent, folder, f"depth{depth}").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    drop_folder(place)
+    return n
+
+
 def _suffix_probability(tree: Tree, above: np.ndarray, symbols: np.ndarray, root: np.ndarray) -> np.ndarray:
     """Probability of symbols after the suffix state of the last depth, backing off to the root."""
     p = root[symbols].copy()
@@ -180,7 +282,7 @@ def _suffix_probability(tree: Tree, above: np.ndarray, symbols: np.ndarray, root
 
 
 def _grow(tree: Tree, contexts: np.ndarray, above: np.ndarray, rows: np.ndarray, all_n: np.ndarray, root: np.ndarray) -> None:
-    """Add the states of one depth, from rows (place in contexts, symbol, n) and the counts of the contexts."""
+    """Add the states of one depth to a tree in memory, from rows (place in contexts, symbol, n) and the counts of the contexts."""
     at, symbol, n = rows
     p = (n - DISCOUNT) / all_n[at]
     q = _suffix_probability(tree, above[at], symbol, root)
@@ -205,41 +307,6 @@ def _keys_of_strings(strings: np.ndarray) -> list[np.ndarray]:
     return keys
 
 
-def grow_tree(folder: str, chunks: DataFrame, totals: DataFrame, tokens: int, distinct: int) -> Tree:
-    """The tree of all training texts in the chunks; what comes to the driver is bounded by the shares."""
-    frequent = totals.where(F.col("c") >= max(2, SYMBOL_SHARE * tokens)).select("word", "c").collect()
-    words = np.array([r["word"] for r in frequent], np.int64).view(np.uint64)
-    order = np.argsort(words)
-    counts = np.array([r["c"] for r in frequent], float)[order]
-    share = (counts + ADDED) / (tokens + ADDED * (distinct + 1))
-    tree = Tree(words[order], float(1 - share.sum()), tokens, distinct)
-    root = np.concatenate([[tree.other_share], share])
-    enough = max(2, CONTEXT_SHARE * tokens)
-    strings = np.concatenate([[0], 1 + np.flatnonzero(counts >= enough)])[:, None]
-    for depth in range(1, DEPTH + 1):
-        keys = _keys_of_strings(strings)
-        order = np.argsort(keys[-1])
-        strings, contexts = strings[order], keys[-1][order]
-        above = keys[-2][order] if depth > 1 else np.zeros(len(order), np.uint64)
-        counted = chunks.mapInArrow(_context_counts(folder, tree, contexts, depth), "context int, symbol int, n long")
-        counted = counted.groupBy("context", "symbol").agg(F.sum("n").alias("n"))
-        rows = counted.where((F.col("symbol") < 0) | (F.col("n") >= max(2, ENTRY_SHARE * tokens))).collect()
-        if not rows:
-            break
-        at, symbol, n = np.array(rows, np.int64).T
-        all_n = np.zeros(len(contexts), np.int64)
-        all_n[at[symbol < 0]] = n[symbol < 0]
-        known = (symbol >= 0) & (all_n[at] >= enough)
-        rows = np.stack([at[known], symbol[known], n[known]])
-        _grow(tree, contexts, above, rows, all_n, root)
-        # A string that goes on below a new state: the context of a row with the row's symbol as its nearest.
-        longer = np.concatenate([rows[1][:, None], strings[rows[0]]], axis=1)[rows[2] >= enough]
-        strings = longer[_find(tree.states[-1], _keys_of_strings(longer)[-2]) >= 0] if len(longer) else longer
-        if not len(strings):
-            break
-    return tree
-
-
 def log_probabilities(tree: Tree, tokens: np.ndarray, bounds: np.ndarray, base: np.ndarray) -> np.ndarray:
     """Natural log probability of each token; base has those of the root for the words themselves."""
     symbols = tree.symbols(tokens)
@@ -263,24 +330,31 @@ def log_probabilities(tree: Tree, tokens: np.ndarray, bounds: np.ndarray, base:
     return out
 
 
-def _scorer(folder: str, shared: pyspark.Broadcast) -> Callable[[pa.Table], pa.Table]:
-    def run(group: pa.Table) -> pa.Table:
-        tree: Tree = shared.value
-        table = _read_chunk(folder, group.column("chunk")[0].as_py())
-        words, counts = group.column("word").to_numpy().view(np.uint64), group.column("c").to_numpy()
-        order = np.argsort(words)
-        words, counts = words[order], counts[order]
+def _scorer(folder: str, root: Root, depth: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def scored(chunk: int) -> pa.RecordBatch:
+        table = _read_part(folder, chunk, "texts")
+        tree, words, counts = _words_of(folder, chunk, root)
+        for d in range(1, depth + 1):
+            states, backoff, entries, logs = _found(folder, chunk, d)
+            known = ~np.isnan(logs)
+            for of, values in ((tree.states, states), (tree.backoff, backoff), (tree.entries, entries[known]), (tree.logs, logs[known])):
+                of.append(values)
         tokens, bounds = tokens_of(table.column("text").combine_chunks())
         count = counts[np.searchsorted(words, tokens)]
-        base = np.log((count + ADDED) / (tree.tokens + ADDED * (tree.distinct + 1)))
+        base = root.logs(count)
         score = log_probabilities(tree, tokens, bounds, base)
         ids = table.column("doc_id").to_pylist()
-        return pa.table({
-            "doc_id": table.column("doc_id"), "held_out": pa.array([is_held_out(d) for d in ids], pa.bool_()),
+        return pa.RecordBatch.from_pydict({
+            "doc_id": table.column("doc_id").combine_chunks(), "held_out": pa.array([is_held_out(d) for d in ids], pa.bool_()),
             "n_tokens": pa.array(np.diff(bounds).astype(np.int64)), "n_known": pa.array(sums_between(count > 0, bounds)),
-            "train_tokens": pa.array(np.full(len(ids), tree.tokens, np.int64)),
+            "train_tokens": pa.array(np.full(len(ids), root.tokens, np.int64)),
             "base_score": pa.array(sums_between(base, bounds) / np.log(10)), "score": pa.array(sums_between(score, bounds) / np.log(10))})
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk in batch.column("chunk").to_pylist():
+                yield scored(chunk)
+
     return run
 
 
@@ -306,11 +380,15 @@ def _scored(rows: DataFrame, folder: str) -> DataFrame:
     # A word has one row per chunk; Parquet keeps these much smaller than a checkpoint would.
     counted.write.option("compression", "zstd").parquet(f"{folder}/words")
     counted = spark.read.parquet(f"{folder}/words")
-    totals = counted.where("turn = 1 and c > 0").select("word", "c")
-    tokens, distinct = totals.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    chunks = cut(counted.select("chunk").distinct()).repartition(shuffle_width(spark), "chunk")
-    # The tree's size is bounded by the shares, not by the input.
-    shared = spark.sparkContext.broadcast(grow_tree(folder, chunks, totals, tokens, distinct))
-    known = counted.select("chunk", "word", "c")
-    return known.groupBy("chunk").applyInArrow(
-        _scorer(folder, shared), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    many = F.col("c") >= MIN_COUNT
+    tokens, distinct, named, n_named = counted.where("turn = 1 and c > 0").agg(
+        F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(many, F.col("c"))), F.lit(0)), F.count(F.when(many, 1))).first()
+    root = Root(tokens, distinct, (tokens - named + ADDED * (distinct + 1 - n_named)) / (tokens + ADDED * (distinct + 1)))
+    words = counted.select("chunk", F.col("word").alias("key"), F.lit(False).alias("state"), F.col("c").cast("double").alias("value"))
+    chunks = cut(_send_back(words, folder, "words").select("chunk").repartition(shuffle_width(spark), "chunk"))
+    drop_folder(f"{folder}/words")
+    depth = 0
+    while depth < DEPTH and _grow_depth(folder, chunks, root, depth + 1):
+        depth += 1
+    return chunks.mapInArrow(
+        _scorer(folder, root, depth), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -90,6 +90,62 @@ def test_suffix_tree_scores(make_docs, odd_rows, chained):
     assert suffix_tree.score(make_docs([])).collect() == []
 
 
+def brute_scores(rows):
+    """score of each row by a tree kept in dictionaries, contexts as strings with the nearest word last."""
+    texts = [(zlib.crc32(b"" if d is None else str(d).encode()) % 10 > 0, [*WORD.findall((t or "").translate(FOLD)), None]) for d, t, _ in rows]
+    counts = Counter(w for train, ws in texts if train for w in ws)
+    total = sum(counts.values()) + 0.1 * (len(counts) + 1)
+    base = lambda w: (counts[w] + 0.1) / total
+    many = {w for w in counts if counts[w] >= 2}
+    other = 1 - sum(map(base, many))
+    name = lambda w: w if w in many else "?"
+    after = {}
+    for train, ws in texts:
+        padded = [name(None)] * suffix_tree.DEPTH + [name(w) for w in ws]
+        for i in range(suffix_tree.DEPTH, len(padded) if train else 0):
+            for k in range(1, suffix_tree.DEPTH + 1):
+                after.setdefault(tuple(padded[i - k:i]), Counter())[padded[i]] += 1
+    states = {(): ({}, 0.0)}
+
+    def probability(context, w):
+        while True:
+            if context not in states:
+                context = context[1:]
+            elif not context:
+                return other if w == "?" else base(w)
+            elif w in states[context][0]:
+                return states[context][0][w]
+            else:
+                return states[context][1] * probability(context[1:], w)
+
+    for context in sorted(after, key=len):
+        p = {w: (n - 0.5) / sum(after[context].values()) for w, n in after[context].items() if n >= 2}
+        if p and context[1:] in states:
+            q = {w: probability(context[1:], w) for w in p}
+            rest, rest_q = (1 - min(sum(x.values()), 1 - 1e-12) for x in (p, q))
+            if sum(p[w] * math.log(p[w] / q[w]) for w in p) + rest * math.log(rest / rest_q) >= suffix_tree.DIVERGENCE:
+                states[context] = p, rest / rest_q
+    out = []
+    for _, ws in texts:
+        padded = [name(None)] * suffix_tree.DEPTH + [name(w) for w in ws]
+        out.append(sum(
+            math.log10(probability(tuple(padded[i:i + suffix_tree.DEPTH]), name(w)) * (base(w) / other if name(w) == "?" else 1)) for i, w in enumerate(ws)))
+    return out
+
+
+def test_suffix_tree_against_brute_force(make_docs, odd_rows, chained, monkeypatch):
+    """Few and many chunks; a passage of rare words that a share of all tokens would leave out is learnt."""
+    rng = random.Random(12)
+    passage = sentence(rng, 12)
+    rows = odd_rows + chained + [(2000 + i, f"{sentence(rng, 300)} {passage} {sentence(rng, 300)}", "s") for i in range(30)]
+    want = sorted((str(d), len(WORD.findall(t or "")), round(x, 5)) for (d, t, _), x in zip(rows, brute_scores(rows), strict=True))
+    for size in (24_000_000, 20_000):
+        monkeypatch.setattr(suffix_tree, "CHUNK_BYTES", size)
+        got = sorted((str(r["doc_id"]), r["n_tokens"] - 1, round(r["score"], 5)) for r in suffix_tree.score(make_docs(rows)).collect())
+        assert [g[:2] for g in got] == [w[:2] for w in want]
+        assert np.allclose([g[2] for g in got], [w[2] for w in want], atol=2e-5)
+
+
 def test_distributions_sum_to_one():
     """Next-symbol probabilities in a hand-made tree of depth two, over all symbols."""
     root = np.array([0.2, 0.5, 0.3])
