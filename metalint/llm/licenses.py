@@ -1,11 +1,11 @@
-"""Licence paragraphs: a trained classifier names the family, a template comparison confirms it.
+"""Licence paragraphs: a template comparison finds notices, a trained classifier names the family.
 
-The classifier is a multinomial logistic regression on hashed words and word pairs of a paragraph (a line). It is
-trained on varied copies of the templates below (words dropped, cut short, framed by other words) and, as the unknown
+A notice is a run of words of a paragraph (a line), wherever it stands, that holds at least ``CONFIRM`` of the word
+triples of a template in their order, within ``SPREAD`` times the template's words. Runs that overlap are one notice.
+The classifier is a multinomial logistic regression on hashed words and word pairs of a notice. It is trained on varied copies of the templates below (words dropped, cut short, framed by other words) and, as the unknown
 class, on paragraphs of the corpus: a hashed sample of at most ``UNKNOWN_ROWS`` rows.
 Scores become probabilities by one temperature and one offset of the unknown class, both fitted on held-out rows. A
-paragraph counts if a family has ``SURE`` probability or more and the paragraph holds at least ``CONFIRM`` of the
-word triples of a template of that family.
+notice counts if a family has ``SURE`` probability or more and a template of that family is among those it holds.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ UNKNOWN_CHARS = 2000
 VARIANTS = 60
 SURE = 0.5
 CONFIRM = 0.6
-MAX_PARAGRAPH_WORDS = 200
+SPREAD = 2
 
 #: Customary short notices of each licence family.
 TEMPLATES = {
@@ -64,13 +65,12 @@ _GAP = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 @dataclass(frozen=True)
 class Model:
-    """Weights (classes, buckets), bias, temperature and offset of the unknown class; word triples of each template."""
+    """Weights (classes, buckets), bias, temperature and offset of the unknown class."""
 
     weights: np.ndarray
     bias: np.ndarray
     temperature: float
     offset: float
-    triples: list[tuple[int, np.ndarray]]
 
 
 def _windows(words: np.ndarray, owner: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -167,17 +167,16 @@ def train(docs: DataFrame) -> Model:
     """A model from the templates and, as the unknown class, paragraphs of docs (doc_id, text).
 
     These are the first UNKNOWN_LINES lines of UNKNOWN_ROWS rows, so the training set has a bound that no input
-    changes. Paragraphs that hold CONFIRM of a template's word triples are left out of the unknown class.
+    changes. Paragraphs with a notice by their word triples are left out of the unknown class.
     """
     lines = F.transform(F.slice(F.split("text", "\n"), 1, UNKNOWN_LINES), lambda x: F.substring(x, 1, UNKNOWN_CHARS))
     known = docs.where("text is not null and doc_id is not null").select("doc_id", "text")
     sample = hashed_sample(known, "doc_id", UNKNOWN_ROWS).select("doc_id", lines.alias("lines")).collect()
     texts, classes = _variants()
-    triples = template_triples()
     unknown = [p for r in sample for p in r["lines"] if _WORD.search(p)] or ["no licence here"]
-    words, owner, _, n = _paragraphs(pa.array(unknown))
-    confirmed = confirmations(words, owner, n, triples).max(axis=1) >= CONFIRM
-    unknown = [u for u, c in zip(unknown, confirmed, strict=True) if not c]
+    words, owner, _, _ = _paragraphs(pa.array(unknown))
+    confirmed = {int(owner[start]) for start, _, _ in notices(words, owner)}
+    unknown = [u for i, u in enumerate(unknown) if i not in confirmed]
     classes = np.array([*classes, *[UNKNOWN] * len(unknown)])
     words, owner, _, n = _paragraphs(pa.array([*texts, *unknown]))
     held = np.arange(n) % 5 == 4
@@ -188,54 +187,58 @@ def train(docs: DataFrame) -> Model:
     grid = [(t, o) for t in (0.25, 0.5, 0.75, 1.0, 1.5, 2.0) for o in (-4.0, -2.0, -1.0, 0.0, 1.0, 2.0, 4.0)]
     loss = [-np.log(_adjusted(z.copy(), t, o)[np.arange(len(z)), classes[held]] + 1e-12).mean() for t, o in grid]
     temperature, offset = grid[int(np.argmin(loss))]
-    return Model(weights, bias, temperature, offset, triples)
+    return Model(weights, bias, temperature, offset)
 
 
-def template_triples() -> list[tuple[int, np.ndarray]]:
-    out = []
+@cache
+def _template_places() -> tuple[dict[int, list[tuple[int, int]]], list[tuple[int, int]]]:
+    """Templates and places in them by word triple; family and number of triples of each template."""
+    places: dict[int, list[tuple[int, int]]] = {}
+    templates = []
     for c, family in enumerate(FAMILIES):
         for template in TEMPLATES[family]:
             words, owner, _, _ = _paragraphs(pa.array([template]))
-            out.append((c, np.unique(_windows(words, owner, 3)[0])))
+            triples = _windows(words, owner, 3)[0].tolist()
+            for k, triple in enumerate(triples):
+                places.setdefault(triple, []).append((len(templates), k))
+            templates.append((c, len(triples)))
+    return places, templates
+
+
+def notices(words: np.ndarray, owner: np.ndarray) -> list[tuple[int, int, set[int]]]:
+    """First word, end and families of each notice: overlapping runs with CONFIRM of a template's triples in order."""
+    if len(words) < 3:
+        return []
+    places, templates = _template_places()
+    rolled, of = _windows(words, owner, 3)
+    at = np.flatnonzero(owner[2:] == owner[:-2])
+    hit = np.isin(rolled, np.array(list(places), np.uint64))
+    # Of each template the chains of triples that may go on: paragraph, place in the template, length, first word.
+    open_chains: list[list[tuple[int, int, int, int]]] = [[] for _ in templates]
+    runs = []
+    for here, triple, paragraph in zip(at[hit].tolist(), rolled[hit].tolist(), of[hit].tolist(), strict=True):
+        for t, k in places[triple]:
+            family, size = templates[t]
+            earliest = here + 3 - SPREAD * (size + 2)
+            chains = [x for x in open_chains[t] if x[0] == paragraph and x[3] >= earliest]
+            length, first = max(((x[2] + 1, x[3]) for x in chains if x[1] < k), default=(1, here))
+            open_chains[t] = [*chains, (paragraph, k, length, first)]
+            if length >= CONFIRM * size:
+                runs.append((first, here + 3, family))
+    out: list[tuple[int, int, set[int]]] = []
+    for first, end, family in sorted(runs):
+        if out and first < out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]), out[-1][2] | {family})
+        else:
+            out.append((first, end, {family}))
     return out
 
 
-def confirmations(words: np.ndarray, owner: np.ndarray, n: int, triples: list[tuple[int, np.ndarray]]) -> np.ndarray:
-    """For each paragraph and family the largest share of a template's word triples that the paragraph holds."""
-    rolled, own = _windows(words, owner, 3)
-    out = np.zeros((n, len(FAMILIES)))
-    every = np.unique(np.concatenate([t for _, t in triples]))
-    at = np.searchsorted(every, rolled)
-    at[at == len(every)] = 0
-    hit = every[at] == rolled
-    pairs = np.unique(np.stack([own[hit], at[hit]]), axis=1) if hit.any() else np.zeros((2, 0), np.int64)
-    for c, template in triples:
-        mine = np.isin(pairs[1], np.searchsorted(every, template))
-        out[:, c] = np.maximum(out[:, c], np.bincount(pairs[0][mine], minlength=n) / len(template))
-    return out
-
-
-def _halves(words: np.ndarray, owner: np.ndarray, text: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Paragraphs with long ones read as overlapping pieces of MAX_PARAGRAPH_WORDS words."""
-    sizes = np.bincount(owner, minlength=n)
-    if not len(words) or sizes.max() <= MAX_PARAGRAPH_WORDS:
-        return words, owner, text, n
-    half, starts = MAX_PARAGRAPH_WORDS // 2, np.cumsum(sizes) - sizes
-    where, pieces, texts = [], [], []
-    for i in range(n):
-        for at in range(0, max(1, sizes[i] - half), half):
-            span = np.arange(starts[i] + at, starts[i] + min(sizes[i], at + 2 * half))
-            where.append(span)
-            pieces.append(np.full(len(span), len(texts)))
-            texts.append(text[i])
-    return words[np.concatenate(where)], np.concatenate(pieces), np.array(texts), len(texts)
-
-
 def scan(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, n_paragraphs, n_licensed, family, families) for every row of docs (doc_id, text).
 
-    Other columns are not looked at. A paragraph is a line with a word; one of more than MAX_PARAGRAPH_WORDS words is
-    read as overlapping pieces, each counted. family is the one with most licensed paragraphs (the first by name of
+    Other columns are not looked at. A paragraph is a line with a word; it is licensed once for each family that its
+    notices have. family is the one with most licensed paragraphs (the first by name of
     several), families all of them in order; null and empty where there is none. Nulls and texts without words have no
     paragraphs, repeated rows give repeated results, an empty table an empty one.
     """
@@ -244,16 +247,17 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: Model = shared.value
         for batch in batches_of(batches, 512):
-            words, owner, text, n = _halves(*_paragraphs(batch.column("text")))
+            words, owner, text, _ = _paragraphs(batch.column("text"))
             counts = np.zeros((batch.num_rows, len(FAMILIES)), np.int64)
-            if n:
-                p = _adjusted(_scores(known.weights, known.bias, words, owner, n), known.temperature, known.offset)[:, :UNKNOWN]
+            held = notices(words, owner)
+            if held:
+                inside = np.concatenate([np.arange(first, end) for first, end, _ in held])
+                of = np.repeat(np.arange(len(held)), [end - first for first, end, _ in held])
+                p = _adjusted(_scores(known.weights, known.bias, words[inside], of, len(held)), known.temperature, known.offset)[:, :UNKNOWN]
                 best = p.argmax(axis=1)
-                named = np.flatnonzero(p[np.arange(n), best] >= SURE)
-                mine = np.isin(owner, named)
-                share = confirmations(words[mine], np.searchsorted(named, owner[mine]), len(named), known.triples)
-                sure = named[share[np.arange(len(named)), best[named]] >= CONFIRM]
-                np.add.at(counts, (text[sure], best[sure]), 1)
+                sure = {(int(owner[first]), int(b)) for (first, _, families), b, q in zip(held, best, p, strict=True) if q[b] >= SURE and b in families}
+                for paragraph, c in sure:
+                    counts[text[paragraph], c] += 1
             found = [[FAMILIES[c] for c in np.flatnonzero(row)] for row in counts]
             main = [FAMILIES[row.argmax()] if row.any() else None for row in counts]
             yield pa.RecordBatch.from_arrays([

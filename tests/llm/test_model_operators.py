@@ -188,6 +188,32 @@ def test_licences(make_docs, odd_rows):
     assert licenses.scan(empty, licenses.train(empty)).collect() == []
 
 
+def found_families(make_docs, texts):
+    docs = make_docs([(i, t, "s") for i, t in enumerate(texts)])
+    rng = random.Random(2)
+    model = licenses.train(make_docs([(i, sentence(rng, 60), "s") for i in range(200)]))
+    return {r["doc_id"]: (r["n_paragraphs"], r["n_licensed"], r["families"]) for r in licenses.scan(docs, model).collect()}
+
+
+def test_licences_inside_long_lines(make_docs):
+    """Every template after, before and between many words of one line; two notices in a line; equal ones count once."""
+    rng = random.Random(9)
+    want, texts = [], []
+    for family, templates in licenses.TEMPLATES.items():
+        for template in templates:
+            for before, after in ((300, 10), (0, 250), (1000, 1000)):
+                texts.append(f"{sentence(rng, before)} {template} {sentence(rng, after)}")
+                want.append((1, 1, [family]))
+    texts.append(f"{sentence(rng, 100)} Licensed under the MIT license. Licensed under the Apache License, Version 2.0. {sentence(rng, 100)}")
+    want.append((1, 2, ["apache", "mit"]))
+    texts.append(f"{sentence(rng, 100)} Licensed under the MIT license. {sentence(rng, 100)} Licensed under the MIT license.")
+    want.append((1, 1, ["mit"]))
+    texts.append(sentence(rng, 2000))
+    want.append((1, 0, []))
+    got = found_families(make_docs, texts)
+    assert [(texts[i][-200:], got[i]) for i in range(len(texts)) if got[i] != want[i]] == []
+
+
 def test_licence_model_on_held_out_variants():
     texts, classes = licenses._variants(seed=77)
     rng = random.Random(5)
