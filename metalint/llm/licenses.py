@@ -1,7 +1,8 @@
 """Licence paragraphs: a template comparison finds notices, a trained classifier names the family.
 
-A notice is a run of words of a paragraph (a line), wherever it stands, that holds at least ``CONFIRM`` of the word
-triples of a template in their order, within ``SPREAD`` times the template's words. Runs that overlap are one notice.
+A paragraph is a run of lines with words; lines without (comment marks are none) stand between paragraphs. A notice is
+a run of words of a paragraph, across line ends too, that holds at least ``CONFIRM`` of the word triples of a template
+in their order, within ``SPREAD`` times the template's words. Runs that overlap are one notice.
 The classifier is a multinomial logistic regression on hashed words and word pairs of a notice. It is trained on varied copies of the templates below (words dropped, cut short, framed by other words) and, as the unknown
 class, on paragraphs of the corpus: a hashed sample of at most ``UNKNOWN_ROWS`` rows.
 Scores become probabilities by one temperature and one offset of the unknown class, both fitted on held-out rows. A
@@ -93,7 +94,7 @@ def _paragraphs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, in
     line = np.cumsum(_NEWLINE[raw])
     text = np.searchsorted(offsets[1:], starts, side="right")
     line = line[starts]
-    change = np.concatenate([[True], (line[1:] != line[:-1]) | (text[1:] != text[:-1])]) if len(line) else np.zeros(0, bool)
+    change = np.concatenate([[True], (line[1:] > line[:-1] + 1) | (text[1:] != text[:-1])]) if len(line) else np.zeros(0, bool)
     owner = np.cumsum(change) - 1
     return words, owner, text[change], int(change.sum())
 
@@ -237,8 +238,8 @@ def notices(words: np.ndarray, owner: np.ndarray) -> list[tuple[int, int, set[in
 def scan(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, n_paragraphs, n_licensed, family, families) for every row of docs (doc_id, text).
 
-    Other columns are not looked at. A paragraph is a line with a word; it is licensed once for each family that its
-    notices have. family is the one with most licensed paragraphs (the first by name of
+    Other columns are not looked at. A paragraph is a run of lines with words; it is licensed once for each family
+    that its notices have. family is the one with most licensed paragraphs (the first by name of
     several), families all of them in order; null and empty where there is none. Nulls and texts without words have no
     paragraphs, repeated rows give repeated results, an empty table an empty one.
     """

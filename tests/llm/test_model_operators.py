@@ -3,6 +3,7 @@ from __future__ import annotations
 import math
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -214,6 +215,23 @@ def test_licences_inside_long_lines(make_docs):
     assert [(texts[i][-200:], got[i]) for i in range(len(texts)) if got[i] != want[i]] == []
 
 
+def test_wrapped_licences(make_docs):
+    """Every template wrapped at several widths, plain and behind comment marks, with text around it; blank lines part paragraphs."""
+    rng = random.Random(10)
+    want, texts = [], []
+    for family, templates in licenses.TEMPLATES.items():
+        for template in templates:
+            for width in (20, 45, 72):
+                for mark in ("", "# ", " * ", "// "):
+                    lines = [sentence(rng, 8), *textwrap.wrap(template, width), sentence(rng, 8)]
+                    texts.append(f"{sentence(rng, 30)}\n{mark.rstrip()}\n" + rng.choice(["\n", "\r\n"]).join(mark + x for x in lines))
+                    want.append((2, 1, [family]))
+    texts += ["This library is free software; you can redistribute it\n\nand/or modify it under the terms of the GNU\n \t\nLesser General Public License.", "one\ntwo\n*\nthree"]
+    want += [(3, 0, []), (2, 0, [])]
+    got = found_families(make_docs, texts)
+    assert [(texts[i][-200:], got[i]) for i in range(len(texts)) if got[i] != want[i]] == []
+
+
 def test_licence_model_on_held_out_variants():
     texts, classes = licenses._variants(seed=77)
     rng = random.Random(5)
