@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from metalint.llm import byte_shards, decontaminate, licenses, mixing, near_dedup, quality, suffix_tree, token_shards, url_trust, warc
+from metalint.llm import byte_shards, decontaminate, inner_search, licenses, mixing, near_dedup, quality, suffix_tree, token_shards, url_trust, vector_codes, warc
 from metalint.llm.common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,22 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence families in all documents."""
     docs = documents(spark, sf_dir)
     return licenses.scan(docs, licenses.train(docs))
+
+
+@query
+def op11_inner_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five highest inner products of every fiftieth vector among all vectors."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return inner_search.top_inner(vectors.where("vec_id % 50 = 0"), vectors)
+
+
+ORACLES["op11_inner_search"] = inner_search.search_sql()
+
+
+@query
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes, errors and codebooks of all vectors."""
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op13_vector_codes"] = vector_codes.compress_sql()
