@@ -88,8 +88,10 @@ def open_folder(folder: str) -> tuple[fs.FileSystem, str]:
 
 
 def drop_folder(folder: str) -> None:
+    """Delete a folder; one that nothing was written to does not exist."""
     store, path = open_folder(folder)
-    store.delete_dir(path)
+    if store.get_file_info(path).type != fs.FileType.NotFound:
+        store.delete_dir(path)
 
 
 def write_whole(folder: str, name: str, data: bytes) -> None:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from metalint.llm import byte_shards, decontaminate, inner_search, licenses, mixing, near_dedup, quality, suffix_tree, token_shards, url_trust, vector_codes, warc
+from metalint.llm import byte_shards, decontaminate, filter_audit, inner_search, licenses, mixing, near_dedup, quality, suffix_tree, token_shards, url_trust, vector_codes, warc
 from metalint.llm.common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +110,12 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op13_vector_codes"] = vector_codes.compress_sql()
+
+
+@query
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from all documents, in every order."""
+    return filter_audit.audit(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+ORACLES["op12_filter_audit"] = filter_audit.audit_sql()
