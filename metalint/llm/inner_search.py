@@ -33,7 +33,7 @@ from metalint.llm.folding import folded
 from metalint.llm.vectors import exact_product, extent, finite, scaled
 
 SCALE, TOP = 256, 5
-CHUNK, PACK = 65_536, 32_768
+CHUNK, PACK = 16_384, 16_384
 _ROWS, _ASKS = 4096, 1024
 STEPS = (3 / 8, 3 / 4)
 #: Share of a block's pairs from which whole products are cheaper than single ones.
@@ -101,14 +101,17 @@ def _file_writer(folder: str, kind: str, size: int, scale: float, width: int):
 
 
 def _written(rows: DataFrame, folder: str, kind: str, size: int, n: int, scale: float, width: int) -> DataFrame:
-    """(name, n, longest, place): files of rows (id, v) by descending length; place counts them from 0."""
+    """(name, n, longest, place): files of rows (id, v) by descending length; place counts them from 0.
+
+    The number of files follows from the number of rows, whatever the number of partitions.
+    """
     length = F.aggregate("v", F.lit(0.0), lambda total, x: total + F.pow(F.floor(x.cast("double") * scale).cast("double"), F.lit(2)))
     pieces = max(1, -(-n // size))
     order = [F.col("length").desc(), F.col("id")]
-    placed = rows.withColumn("length", length).repartitionByRange(pieces, *order).sortWithinPartitions(*order)
+    placed = rows.withColumn("length", length).repartitionByRange(pieces, *order).coalesce(pieces).sortWithinPartitions(*order)
     files = cut(placed.select("id", "v").mapInArrow(_file_writer(folder, kind, size, scale, width), "name string, n long, longest double"))
-    # One row per file of some 8 MB: no more rows than a listing of the folder has.
-    return cut(files.withColumn("place", F.row_number().over(Window.orderBy("name")) - 1))
+    # One row per file of some 2 MB: no more rows than a listing of the folder has.
+    return cut(files.withColumn("place", F.row_number().over(Window.orderBy(F.col("longest").desc(), "name")) - 1))
 
 
 def _load(folder: str, name: str) -> dict[str, np.ndarray]:

@@ -40,7 +40,7 @@ def kept(rows, scale, width):
             yield i, tuple(whole + [0] * (width - len(whole))), label
 
 
-@pytest.mark.parametrize(("chunk", "pack"), [(65_536, 32_768), (32, 5)])
+@pytest.mark.parametrize(("chunk", "pack"), [(16_384, 16_384), (32, 5)])
 def test_search_is_exact(spark, vector_rows, monkeypatch, chunk, pack):
     monkeypatch.setattr(inner_search, "CHUNK", chunk)
     monkeypatch.setattr(inner_search, "PACK", pack)
