@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import position_bucket as bucket
@@ -52,30 +52,23 @@ _ACTIONS_SQL = """
     SELECT event_id, 'PBI-NAV-002', 'Warning' FROM a WHERE enabled AND NOT dynamic AND (act = '' OR tgt IS NULL)""")
 def action_rules(t: Tables) -> DataFrame:
     """The four action checks with their three-valued enabled flag."""
-    kind = F.col("typ")
+    kind, target = F.col("typ"), F.when(F.col("event_id") % 3 != 0, F.col("target").cast("string"))
     a = t.actions().select(
         "event_id", "visual", "enabled", (F.col("event_id") % 4 == 0).alias("dynamic"),
         F.when(kind == "click", "Bookmark").when(kind == "view", "PageNavigation").when(kind == "purchase", "WebUrl")
-        .when(kind == "error", "page").otherwise("").alias("at"),
-        F.when(F.col("event_id") % 3 != 0, F.col("target").cast("string")).alias("tgt"), F.lit(0).alias("report"),
-    )
-    known = t.table("nation").select(F.lit(0).alias("report"), F.col("n_nationkey").cast("string").alias("tgt"))
-    caught = t.table("orders").where("o_orderpriority = '1-URGENT'").select(
-        F.col("o_custkey").alias("visual")).distinct().withColumn("_c", F.lit(True))
-    on = checks.is_enabled(F.col("enabled"))
-    dynamic = a.where(checks.not_disabled(F.col("enabled")) & F.col("dynamic")).select(
-        "event_id", F.lit("PBI-NAV-008").alias("rule_id"), F.lit("Information").alias("severity"))
-    bookmark = resolve.missing_target(a, known, ["report"], "tgt", where=on & checks.is_type(F.col("at"), "Bookmark"))
-    bookmark = bookmark.join(caught, "visual", "left").select(
-        "event_id", F.lit("PBI-NAV-001").alias("rule_id"),
-        F.when(F.col("_c"), "Information").otherwise("Error").alias("severity"))
-    page = resolve.missing_target(
-        a, known, ["report"], "tgt", where=on & checks.is_type(F.col("at"), "Page", "PageNavigation")
-    ).select("event_id", F.lit("PBI-NAV-007").alias("rule_id"), F.lit("Error").alias("severity"))
-    lacking = checks.incomplete_reason(F.col("at"), F.col("tgt"), F.col("tgt"), F.col("tgt"))
-    part = a.where(on & ~F.col("dynamic") & lacking.isNotNull()).select(
-        "event_id", F.lit("PBI-NAV-002").alias("rule_id"), F.lit("Warning").alias("severity"))
-    return resolve.union_all(dynamic, bookmark, page, part)
+        .when(kind == "error", "page").otherwise("").alias("type"),
+        target.alias("bookmark"), target.alias("page_target"), target.alias("url"), F.lit(0).alias("report"))
+    known = t.table("nation").select(F.lit(0).alias("report"), F.col("n_nationkey").cast("string").alias("page"))
+    caught = t.table("orders").where("o_orderpriority = '1-URGENT'").select(F.lit(0).alias("report"), F.col("o_custkey").alias("visual"))
+    flags = checks.action_flags(a, known, known.withColumnRenamed("page", "bookmark"), caught, ["report"])
+
+    def hit(rule: str, when, severity) -> Column:
+        return F.when(when, F.struct(F.lit(rule).alias("rule_id"), severity.alias("severity")))
+
+    return flags.select("event_id", F.inline(F.array_compact(F.array(
+        hit("PBI-NAV-001", F.col("bookmark_missing"), F.when(F.col("captured"), "Information").otherwise("Error")),
+        hit("PBI-NAV-002", F.col("lacking").isNotNull(), F.lit("Warning")), hit("PBI-NAV-007", F.col("page_missing"), F.lit("Error")),
+        hit("PBI-NAV-008", F.col("depends"), F.lit("Information"))))))
 
 
 @query("tab_dupes", """

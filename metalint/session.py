@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -46,3 +48,25 @@ def cut(df: DataFrame) -> DataFrame:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def staged(df: DataFrame, part: str, *order: str) -> DataFrame:
+    """Write df once as Parquet in the shared folder, a folder for each value of part and rows by order, and read it back.
+
+    Readers that filter part and name their columns open just these; a lost executor costs a re-read. The folder goes
+    with the checkpoint folder, or by `drop_staged`.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/staged-{uuid.uuid4().hex}"
+    df.sortWithinPartitions(part, *order).write.partitionBy(part).option("compression", "zstd").parquet(folder)
+    columns = [f for f in df.schema if f.name != part]
+    return spark.read.schema(type(df.schema)([*columns, df.schema[part]])).parquet(folder)
+
+
+def drop_staged(df: DataFrame) -> None:
+    """Delete the files behind a staged table; nothing that reads it can be used afterwards."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 2)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
