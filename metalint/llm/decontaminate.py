@@ -5,7 +5,8 @@ The distinct window hashes of the benchmark are a hash set that is broadcast whi
 all its windows are hashed and only hits leave the scan. Texts with hits are then verified word by word against the
 windows themselves, so a hash collision never counts.
 
-Hashing folds case with ``lower``, which never tells apart what folding A-Z holds equal; verification folds A-Z only.
+Hashing folds case with ``lower`` and then final sigmas to others, as ``lower`` chooses between the two by what
+surrounds the word; so hashes never tell apart what folding A-Z holds equal. Verification folds A-Z only.
 """
 
 from __future__ import annotations
@@ -27,6 +28,11 @@ def _words(folded: Column) -> Column:
     return F.array_remove(F.split(folded, _GAP), "")
 
 
+def _folded_words(text: Column) -> Column:
+    """Words for hashing; each character is folded by itself."""
+    return _words(F.replace(F.lower(text), F.lit("ς"), F.lit("σ")))
+
+
 def _hashes(words: Column, m: int) -> Column:
     starts = F.when(F.size(words) >= m, F.sequence(F.lit(1), F.size(words) - m + 1)).otherwise(F.array().cast("array<int>"))
     return F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, m)))
@@ -50,7 +56,7 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     """(item_id, m, h, gram): every window of every item; an item of fewer words than WINDOW is one window."""
     items = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
-    items = items.select("item_id", _words(F.lower("text")).alias("folded"), _words(ascii_lower(F.col("text"))).alias("words"))
+    items = items.select("item_id", _folded_words(F.col("text")).alias("folded"), _words(ascii_lower(F.col("text"))).alias("words"))
     items = items.where(F.size("words") > 0).withColumn("m", F.least(F.size("words"), F.lit(WINDOW)))
     first = items.select("item_id", "m", "folded", "words", F.explode(F.sequence(F.lit(1), F.size("words") - F.col("m") + 1)).alias("first"))
     return first.select(
@@ -69,7 +75,7 @@ def verified_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     lengths = sorted((r["m"] for r in windows.select("m").distinct().collect()), reverse=True) or [WINDOW]
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
 
-    split = keyed.select("doc_id", "th", _words(F.lower("text")).alias("words"))
+    split = keyed.select("doc_id", "th", _folded_words(F.col("text")).alias("words"))
     scan = split.select("doc_id", "th", F.size("words").alias("n"), F.concat(*[_hashes(F.col("words"), m) for m in lengths]).alias("hashes"))
     # The outer form: for the inner one Catalyst adds a filter on the list, which would hash every text twice.
     scan = scan.select("doc_id", "th", "n", F.posexplode_outer("hashes").alias("at", "h"))

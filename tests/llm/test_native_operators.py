@@ -86,6 +86,15 @@ def test_contamination(spark, make_docs, leaked):
     assert len(none) == len(rows) and not any(r["contaminated"] for r in none)
 
 
+def test_capital_sigma_hashes_alike(spark, make_docs):
+    """Lower-casing picks a sigma by what surrounds the word, hashing must not."""
+    rest = " ".join(f"w{i}" for i in range(7))
+    benchmark = spark.createDataFrame([(1, f"ΟΔΟΣ.ΑΒ ΛΟΓΟΣ {rest}"), (2, f"λογος ΝΟΜΟΣ: ΑΒ {rest}")], "item_id long, text string")
+    rows = [(1, f"ΟΔΟΣ ΑΒ ΛΟΓΟΣ {rest}", "s"), (2, f"λογος ΝΟΜΟΣ ΑΒ {rest}", "s"), (3, f"λογοσ ΝΟΜΟΣ ΑΒ {rest}", "s")]
+    got = {r["doc_id"]: (r["n_hit"], r["n_items"]) for r in decontaminate.contamination(make_docs(rows), benchmark).collect()}
+    assert got == {1: (10, 1), 2: (10, 1), 3: (0, 0)}
+
+
 def test_removal(spark, make_docs, leaked):
     rows, items = leaked
     benchmark = spark.createDataFrame(items, "item_id long, text string")
