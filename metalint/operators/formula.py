@@ -145,24 +145,34 @@ def is_dynamic(c: Column) -> Column:
     return low.contains("expression.evaluate") | low.contains("#shared") | low.contains("record.field")
 
 
+_PLAIN = r"a-z0-9_\x{80}-\x{10FFFF}"
+
+
 def _block_words(c: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"[a-z0-9_]+|[^\x00-\x7F]"), F.lit(0)))
 
 
+def _block_marks(c: Column, n: int) -> Column:
+    """All runs of n marks, characters that are part of no word; runs overlap."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(f"(?s)(?=([^{_PLAIN}]{{{n}}}))"), F.lit(1)))
+
+
 def names_in_text(texts: DataFrame, names: DataFrame, scope: Sequence[str], key: Sequence[str],
                   masked: str = "masked") -> DataFrame:
     """Which known names occur in which text, as a whole word or as `#"name"`.
 
     texts: scope, key, masked; names: scope, name. A text that holds a name holds every plain word of it
-    whole, so each name is looked for only where its rarest word occurs; a name without words is looked for
-    everywhere. Only words travel in the blocking join, and only words that some name has. Candidate pairs
-    are distinct (text, name) and are checked against the whole text afterwards.
+    whole, so each name is looked for only where its rarest word occurs. A name without words is made of marks; it
+    is looked for where its rarest pair of adjacent marks occurs (a single mark: where that occurs). Only words and
+    marks travel in the blocking join, and only those that some name has. Candidate pairs are distinct (text, name)
+    and are checked against the whole text afterwards. An empty name occurs nowhere.
     """
     s, k = list(scope), list(key)
-    none = F.array(F.lit(""))
     asked = names.select(*s, "name").distinct().select(*s, "name", _block_words(F.col("name")).alias("_a"))
-    asked = asked.select(*s, "name", F.explode(F.when(F.size("_a") > 0, F.col("_a")).otherwise(none)).alias("_w"))
-    words = texts.select(*s, *k, F.explode(F.array_union(_block_words(F.col(masked)), none)).alias("_w"))
+    marks = F.when(F.length("name") > 1, _block_marks(F.col("name"), 2)).otherwise(_block_marks(F.col("name"), 1))
+    asked = asked.select(*s, "name", F.explode(F.when(F.size("_a") > 0, F.col("_a")).otherwise(marks)).alias("_w"))
+    held = F.concat(_block_words(F.col(masked)), _block_marks(F.col(masked), 2), _block_marks(F.col(masked), 1))
+    words = texts.select(*s, *k, F.explode(held).alias("_w"))
     words = cut(words.join(asked.select(*s, "_w").distinct(), [*s, "_w"], "left_semi"))
     frequency = words.groupBy(*s, "_w").agg(F.count("*").alias("_n"))
     rarest = first_by(

@@ -7,31 +7,41 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import Buckets, cut
 from .ranking import first_by
 
 EDGES_PER_TASK = 1_000_000
 
 
-def _adjacency(edges: DataFrame, scope: list[str], per_task: int) -> tuple[DataFrame, DataFrame]:
-    """Edges laid out once by (scope, source, piece), sorted, on reliable storage.
+def _adjacency(edges: DataFrame, scope: list[str], per_task: int) -> tuple[Buckets, DataFrame | None]:
+    """Edges laid out once by (scope, source, piece), and the number of pieces of sources that have several.
 
     A source with more than `per_task` outgoing edges is spread over several pieces. The fan table lists
-    only those sources, so it has at most |edges| / per_task rows.
+    only those sources, so it has at most |edges| / per_task rows; it is None where there are none.
     """
     adj = cut(edges.select(*scope, "src", "dst").distinct())
     fan = cut(
         adj.groupBy(*scope, "src").agg(F.count("*").alias("_d")).where(F.col("_d") > per_task)
         .select(*scope, "src", F.ceil(F.col("_d") / per_task).cast("int").alias("_fan"))
     )
-    keys = [*scope, "src", "_piece"]
     if fan.isEmpty():
-        adj = adj.withColumn("_piece", F.lit(0))
-    else:
-        adj = adj.join(fan, [*scope, "src"], "left").withColumn(
-            "_piece", F.pmod(F.xxhash64("dst"), F.coalesce("_fan", F.lit(1))).cast("int")
+        return Buckets(adj, [*scope, "src"]), None
+    adj = adj.join(fan, [*scope, "src"], "left").withColumn(
+        "_piece", F.pmod(F.xxhash64("dst"), F.coalesce("_fan", F.lit(1))).cast("int")
+    ).drop("_fan")
+    return Buckets(adj, [*scope, "src", "_piece"]), fan
+
+
+def _next_nodes(frontier: DataFrame, adj: Buckets, fan: DataFrame | None, visited: Buckets, label: list[str], scope: list[str]) -> DataFrame:
+    """Nodes one edge away from the frontier that were not visited. The frontier and what it finds are shuffled, nothing else."""
+    key = [*label, *scope, "node"]
+    here = frontier.withColumnRenamed("node", "src")
+    if fan is not None:
+        here = here.join(fan, [*scope, "src"], "left").withColumn(
+            "_piece", F.explode(F.sequence(F.lit(0), F.coalesce("_fan", F.lit(1)) - 1))
         ).drop("_fan")
-    return cut(adj.repartition(*keys).sortWithinPartitions(*keys)), fan
+    hop = here.join(adj.all(), adj.keys).select(*label, *scope, F.col("dst").alias("node"))
+    return hop.distinct().join(visited.all(), key, "left_anti").select(*key)
 
 
 def reachable(roots: DataFrame, edges: DataFrame, scope: Sequence[str], label: Sequence[str] = (),
@@ -39,32 +49,21 @@ def reachable(roots: DataFrame, edges: DataFrame, scope: Sequence[str], label: S
     """All nodes reached from the roots, roots included; cycles end by the visited test.
 
     roots: label, scope, node. edges: scope, src, dst. known: scope, node (edges leaving other nodes are
-    ignored). Several root sets share one run through `label`. Each round joins the new nodes only with
-    the laid-out edges, drops what was visited and is checkpointed; the driver sees one emptiness test.
+    ignored). Several root sets share one run through `label`. Edges and visited nodes are laid out by their keys and
+    stay where they are: a round moves the nodes of the last round to their edges and what they lead to to its place,
+    and adds the new ones as a batch, so all rounds together shuffle each node and each edge once. The driver sees one
+    emptiness test a round.
     """
     scope, label = list(scope), list(label)
     key = [*label, *scope, "node"]
     if known is not None:
         edges = edges.join(known.select(*scope, F.col("node").alias("src")).distinct(), [*scope, "src"], "left_semi")
     adj, fan = _adjacency(edges, scope, per_task)
-    spread = not fan.isEmpty()
-    frontier = cut(roots.select(*key).distinct())
-    visited, rounds = frontier, 0
-    while not frontier.isEmpty():
-        rounds += 1
-        here = frontier.withColumnRenamed("node", "src")
-        if spread:
-            here = here.join(fan, [*scope, "src"], "left").withColumn(
-                "_piece", F.explode(F.sequence(F.lit(0), F.coalesce("_fan", F.lit(1)) - 1))
-            ).drop("_fan")
-        else:
-            here = here.withColumn("_piece", F.lit(0))
-        hop = here.join(adj, [*scope, "src", "_piece"]).select(*label, *scope, F.col("dst").alias("node")).distinct()
-        frontier = cut(hop.join(visited, key, "left_anti"))
-        visited = visited.unionByName(frontier)
-        if rounds % 16 == 0:
-            visited = cut(visited)
-    return visited
+    visited = Buckets(roots.select(*key).distinct(), key)
+    while not (frontier := visited.batch(visited.batches - 1)).isEmpty():
+        visited.add(_next_nodes(frontier, adj, fan, visited, label, scope))
+    adj.release()
+    return visited.release()
 
 
 def distinct_edges(edges: DataFrame) -> DataFrame:

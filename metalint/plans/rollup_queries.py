@@ -11,7 +11,7 @@ from ..operators import containers, peers, resolve, rollups
 from ..operators.ranking import listed_values
 from .graph_queries import states
 from .registry import query
-from .rules import catalogue
+from .rules import catalogue, catalogue_table
 from .views import Tables
 
 
@@ -109,8 +109,7 @@ def findings_sorted(t: Tables) -> DataFrame:
     f"('{r['rule_id']}', '{r['category']}')" for r in catalogue()) + """) r(rule_id, category) LEFT JOIN f USING (rule_id) GROUP BY ALL""")
 def catalogue_counts(t: Tables) -> DataFrame:
     """Findings per catalogue rule, zero counts kept."""
-    rules = t.spark.createDataFrame([(r["rule_id"], r["category"]) for r in catalogue()], "rule_id string, category string")
-    return rollups.catalogue_counts(rules, _findings(t))
+    return rollups.catalogue_counts(catalogue_table(t.spark).select("rule_id", "category"), _findings(t))
 
 
 _EVIDENCE_SQL = """

@@ -28,7 +28,7 @@ def comment_mask(t: Tables) -> DataFrame:
 
 
 @query("name_in_text", r"""
-    WITH n AS (SELECT DISTINCT regexp_extract(text, '^([^ ]+ [^ ]+) ', 1) AS name FROM benchmark),
+    WITH n AS (SELECT DISTINCT unnest([text, regexp_extract(text, '^[^ ]+ [^ ]+'), '--', '->', '%', '.)']) AS name FROM benchmark),
     m AS (
       SELECT id, list_aggregate(list_transform(
              regexp_extract_all(text, '#"[^"]*(?:""[^"]*)*(?:"|\z)|"[^"]*(?:""[^"]*)*(?:"|\z)|//[^\r\n]*|/\*(?s:.*?)(?:\*/|\z)|[^#"/]+|[#/]'),
@@ -37,10 +37,11 @@ def comment_mask(t: Tables) -> DataFrame:
     SELECT m.id, n.name FROM m JOIN n ON contains(lower(m.masked), lower(n.name))
     WHERE n.name <> '' AND regexp_matches(m.masked, '(?i)(^|[^A-Za-z0-9_])' || regexp_escape(n.name) || '($|[^A-Za-z0-9_.])')""")
 def name_in_text(t: Tables) -> DataFrame:
-    """Which benchmark openings (two words) occur as a name in which text."""
+    """Which benchmark texts, their openings (two words) and some names of marks alone occur as a name in which text."""
     texts = t.texts().select(F.lit(0).alias("scope"), "id", formula.mask_text(F.col("text")).alias("masked"))
+    opening = F.regexp_extract("text", r"^[^ ]+ [^ ]+", 0)
     names = t.table("benchmark").select(
-        F.lit(0).alias("scope"), F.regexp_extract("text", r"^([^ ]+ [^ ]+) ", 1).alias("name")).where("name <> ''")
+        F.lit(0).alias("scope"), F.explode(F.array("text", opening, *map(F.lit, ("--", "->", "%", ".)")))).alias("name")).where("name <> ''")
     return formula.names_in_text(texts, names, ["scope"], ["id"]).select("id", "name")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -70,3 +71,40 @@ def drop_staged(df: DataFrame) -> None:
     for folder in {f.rsplit("/", 2)[0] for f in df.inputFiles()}:
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Buckets:
+    """A table laid out by key: in the shared folder, as many buckets as shuffles have partitions, grown by `add`.
+
+    A join or distinct on exactly these keys needs no shuffle of this table, however large it has become; only the
+    other side moves. The name in the catalogue is there for the scan to know the layout, `release` takes it back; the
+    files stay in the shared folder. Each `add` is a batch of its own, which `batch` reads alone.
+    """
+
+    def __init__(self, df: DataFrame, keys: list[str]):
+        self.spark, self.keys = df.sparkSession, list(keys)
+        ensure_checkpoint_dir(self.spark)
+        token = uuid.uuid4().hex
+        self.name, self.folder = f"metalint_{token}", f"{self.spark.sparkContext.getCheckpointDir()}/buckets-{token}"
+        self.width, self.batches = shuffle_width(self.spark), 0
+        self.columns = df.columns
+        self.add(df.repartition(self.width, *self.keys))
+
+    def add(self, df: DataFrame) -> None:
+        """Append df as the next batch; where it is dealt by the keys already, every bucket gets one file at most."""
+        batch = df.select(*self.columns, F.lit(self.batches).alias("_batch"))
+        batch.write.format("parquet").option("path", self.folder).mode("append").partitionBy("_batch").bucketBy(
+            self.width, *self.keys).sortBy(*self.keys).saveAsTable(self.name)
+        self.batches += 1
+
+    def all(self) -> DataFrame:
+        return self.spark.table(self.name).select(*self.columns)
+
+    def batch(self, number: int) -> DataFrame:
+        return self.spark.table(self.name).where(F.col("_batch") == number).select(*self.columns)
+
+    def release(self) -> DataFrame:
+        """All rows as plain files; the layout is forgotten."""
+        schema = self.spark.table(self.name).schema
+        self.spark.sql(f"DROP TABLE {self.name}")
+        return self.spark.read.schema(schema).parquet(self.folder).select(*self.columns)

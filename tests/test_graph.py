@@ -3,6 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from metalint.operators import containers, graph
+from metalint.session import Buckets
 
 
 def _brute(roots, edges):
@@ -28,6 +29,28 @@ def test_reachable_with_cycles_and_a_hub(spark):
         assert got == _brute(roots, edges)
 
 
+def test_a_round_moves_the_frontier_only(spark):
+    """Neither the edges nor the visited nodes are shuffled again, however many rounds there were."""
+    chain = spark.range(40).select(F.lit("m").alias("m"), F.concat(F.lit("n"), "id").alias("src"), F.concat(F.lit("n"), F.col("id") + 1).alias("dst"))
+    roots = spark.createDataFrame([("direct", "m", "n0"), ("structural", "m", "n35")], "kind string, m string, node string")
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        edges, _ = graph._adjacency(chain, ["m"], 1_000_000)
+        visited = Buckets(roots, ["kind", "m", "node"])
+        for _ in range(3):
+            step = graph._next_nodes(visited.batch(visited.batches - 1), edges, None, visited, ["kind"], ["m"])
+            plan = step._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange hashpartitioning") == 2 and plan.count("Bucketed: true") == 2
+            visited.add(step)
+        assert visited.release().count() == 8
+        edges.release()
+        got = {(r.kind, r.node) for r in graph.reachable(roots, chain, ["m"], label=["kind"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    assert got == {("direct", f"n{i}") for i in range(41)} | {("structural", f"n{i}") for i in range(35, 41)}
+
+
 def test_edges_of_unknown_nodes_do_not_carry(spark):
     e = spark.createDataFrame([("m", "role", "c"), ("m", "x", "y")], "m string, src string, dst string")
     r = spark.createDataFrame([("m", "role"), ("m", "x")], "m string, node string")
