@@ -14,10 +14,11 @@ before it; a null id is a key of its own.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +37,8 @@ LEVELS = 24
 _NULL_ID = -(2**63)
 _DOC = np.dtype([("doc_id", "<i8"), ("first", "<i8"), ("n", "<i8")])
 _SLOT = np.dtype([("print", "<u4"), ("shard", "<u4"), ("first", "<i8"), ("n", "<i8")])
-#: Words that a worker remembers, about 200 bytes each; a worker outlives its task.
-_MEMO = 600_000
+#: Words that a worker remembers, about 200 bytes each, and words encoded together; a worker outlives its task.
+_MEMO, _RUN = 600_000, 64
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -45,6 +46,30 @@ def _pieces(text: str) -> list[str]:
     return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
 
+def _steps(spec: dict | None, inner: str) -> list[dict]:
+    return [] if spec is None else spec[inner] if spec["type"] == "Sequence" else [spec]
+
+
+def letters_go_whole(tokenizer) -> bool:
+    """True where all that happens to a word of A-Z and a-z before the model is that it is lower-cased.
+
+    Read from the tokenizer's own description: normalizers that compose characters, replace white space and lower case;
+    a split that keeps runs of letters, with nothing tried before these but what begins with an apostrophe; bytes as
+    they are; and no added token of letters alone. Any other tokenizer gives False.
+    """
+    spec = json.loads(tokenizer.to_str())
+    normal, before = _steps(spec["normalizer"], "normalizers"), _steps(spec["pre_tokenizer"], "pretokenizers")
+    kinds = [n["type"] for n in normal]
+    blanks = all(n["pattern"] == {"Regex": r"\s+"} for n in normal if n["type"] == "Replace")
+    if not set(kinds) <= {"NFC", "NFKC", "Replace", "Lowercase"} or "Lowercase" not in kinds or not blanks or [b["type"] for b in before] != ["Split", "ByteLevel"]:
+        return False
+    split, level = before
+    tried = split["pattern"].get("Regex", "").split("|")
+    letters = r"[\p{L}]+"
+    whole = split["behavior"] == "Removed" and split["invert"] and letters in tried and all(t.startswith("'") for t in tried[:tried.index(letters)])
+    return whole and not level["add_prefix_space"] and not level["use_regex"] and not any(t["content"].isalpha() for t in spec["added_tokens"])
+
+
 class WordEncoder(dict):
     """Bytes of the ids of each piece between blanks, encoded by the tokenizers library when it is first met.
 
@@ -56,6 +81,8 @@ class WordEncoder(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.older: dict[str, bytes] = {}
+        self.model = None
         self.tokenizer = Tokenizer.from_file(path)
         size = max(self.tokenizer.get_vocab_size() - 1, end_id)
         self.dtype = np.dtype("<u2" if size < 2**16 else "<u4")
@@ -63,20 +90,50 @@ class WordEncoder(dict):
         sample = " Don't  stop\n\tat 3.14 of it,\r\n café <b> 42nd "
         pieces = [i for w in _pieces(sample) for i in self._ids(w)]
         self.by_word = pieces == self._ids(sample)
+        if self.by_word and letters_go_whole(self.tokenizer):
+            self.model = self.tokenizer.model
+        marks = [(m, self._ids(m)) for m in "|~^"]
+        self.mark = next(((m, ids[0]) for m, ids in marks if len(ids) == 1 and self._ids(f"a {m} b") == [*self._ids("a"), *ids, *self._ids("b")]), None)
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids if text else []
 
     def _learn(self, words: set[str]) -> None:
-        """Encode the words that are not known yet, all in one call."""
+        """Encode the words that are not known yet, _RUN of them as one text; words that reach the model whole go to it straight.
+
+        Words are kept in two generations: when the younger one is full it becomes the older one, whose words come
+        back as they are met, so words in use are not learnt again.
+        """
         new = [w for w in words if w not in self]
-        if len(self) + len(new) > _MEMO:
+        if len(self) + len(new) > _MEMO // 2:
+            self.older = dict(self)
             self.clear()
             new = list(words)
-        ids = [got.ids for got in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        data, at = np.fromiter(chain.from_iterable(ids), self.dtype).tobytes(), 0
-        for word, own in zip(new, ids, strict=True):
-            self[word] = data[at:(at := at + len(own) * self.dtype.itemsize)]
+        fresh = []
+        for word in new:
+            ids = self.older.get(word)
+            if ids is not None:
+                self[word] = ids
+            elif self.model is not None and word.isascii() and word.isalpha():
+                self[word] = array(self.dtype.char, [t.id for t in self.model.tokenize(word.lower())]).tobytes()
+            else:
+                fresh.append(word)
+        for at in range(0, len(fresh), _RUN):
+            run = fresh[at:at + _RUN]
+            self.update(zip(run, self._run_ids(run), strict=True))
+
+    def _run_ids(self, run: list[str]) -> list[bytes]:
+        """Ids of each word of a run: one call for all, with a mark between them whose single id tells them apart."""
+        if self.mark is not None:
+            text, mark = self.mark
+            [got] = self.tokenizer.encode_batch_fast([f" {text} ".join(run)], add_special_tokens=False)
+            ids = np.array(got.ids, self.dtype)
+            ends = np.flatnonzero(ids == mark)
+            if len(ends) == len(run) - 1:  # else a word holds the mark itself
+                data, width = ids.tobytes(), self.dtype.itemsize
+                bounds = [-1, *ends.tolist(), len(ids)]
+                return [data[(low + 1) * width:high * width] for low, high in zip(bounds[:-1], bounds[1:], strict=True)]
+        return [np.array(got.ids, self.dtype).tobytes() for got in self.tokenizer.encode_batch_fast(run, add_special_tokens=False)]
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of each text with the end id, as bytes."""

@@ -52,6 +52,19 @@ def test_perfect_hash(keys):
     assert sorted(token_shards.slots_of(table, keys)) == list(range(len(keys))) and len(slots) == len(keys)
 
 
+def test_words_forgotten_and_met_again(monkeypatch):
+    """Few words are remembered, so generations change within a call and from call to call; marks occur in words too."""
+    monkeypatch.setattr(token_shards, "_MEMO", 60)
+    code = token_shards.WordEncoder(PATH, 2)
+    assert code.model is not None and code.mark is not None
+    assert not token_shards.letters_go_whole(Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")))
+    rng = random.Random(4)
+    for _ in range(20):
+        words = [rng.choice(["Plain", "plain", "a|b", "|", "don't", "Éß", "x9", "\xa0", "ﬁ", "THE", "zq" * rng.randint(1, 9)]) + rng.choice(["", "", "é", "!"]) for _ in range(90)]
+        texts = [" ".join(words[i:i + 9]) for i in range(0, 90, 9)]
+        assert [np.frombuffer(x, "<u2").tolist() for x in code.encode_all(texts)] == [i.tolist() for i in ids_of(texts)]
+
+
 def test_any_text_by_words():
     code = token_shards.WordEncoder(PATH, 2)
     rng = random.Random(2)
