@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import formula, lineage
+from ..session import shuffle_width, shuffled
 from ..sources import json_nodes as nodes
 from ..sources import text_blocks as blocks
 from .registry import query
@@ -148,8 +149,9 @@ def connector_summary(t: Tables) -> DataFrame:
 
 def _m_queries(t: Tables) -> DataFrame:
     """Query texts from parts: every even block reads another part's query, renames, selects and joins."""
-    part = t.table("part").select("p_partkey", "p_name")
+    part = t.table("part").select("p_partkey")
     total = part.agg(F.count("*").alias("n")).scalar()
+    part = part.repartition(shuffle_width(t.spark), "p_partkey")  # the texts are many times larger than the keys
     k = F.col("p_partkey")
     other = (k + 25 * (k % 7 + 1)) % total
     text = F.when(
@@ -189,7 +191,7 @@ def query_roles(t: Tables) -> DataFrame:
     refs = formula.query_refs(q, ["model_id"], ["qid"])
     usage, edges = lineage.query_usage(q, refs, ["model_id"], ["qid"])
     consumers = edges.groupBy("model_id", F.col("dst").alias("query")).agg(F.count_distinct("src").alias("consumers"))
-    return usage.join(consumers, ["model_id", "query"], "left").select(
+    return usage.join(shuffled(consumers), ["model_id", "query"], "left").select(
         "model_id", "query", "state", "role", F.coalesce("consumers", F.lit(0).cast("long")).alias("consumers"))
 
 
