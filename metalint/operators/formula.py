@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import fold
 from ..functions.urls import location_kind
-from ..session import cut
+from ..session import cut, few_or_shuffled, shuffled
 from .ranking import first_by
 
 # Building blocks of the token patterns. Repetitions are unrolled so that the regex engine loops, not recurses.
@@ -173,16 +173,16 @@ def names_in_text(texts: DataFrame, names: DataFrame, scope: Sequence[str], key:
     asked = asked.select(*s, "name", F.explode(F.when(F.size("_a") > 0, F.col("_a")).otherwise(marks)).alias("_w"))
     held = F.concat(_block_words(F.col(masked)), _block_marks(F.col(masked), 2), _block_marks(F.col(masked), 1))
     words = texts.select(*s, *k, F.explode(held).alias("_w"))
-    words = cut(words.join(asked.select(*s, "_w").distinct(), [*s, "_w"], "left_semi"))
+    words = cut(words.join(few_or_shuffled(asked.select(*s, "_w").distinct()), [*s, "_w"], "left_semi"))
     frequency = words.groupBy(*s, "_w").agg(F.count("*").alias("_n"))
-    rarest = first_by(
-        asked.join(frequency, [*s, "_w"], "left").withColumn("_n", F.coalesce("_n", F.lit(0))), [*s, "name"], ["_n", "_w"]
-    ).drop("_n")
+    rarest = few_or_shuffled(first_by(
+        asked.join(shuffled(frequency), [*s, "_w"], "left").withColumn("_n", F.coalesce("_n", F.lit(0))), [*s, "name"], ["_n", "_w"]
+    ).drop("_n"))
     pairs = words.join(rarest, [*s, "_w"]).select(*s, *k, "name").distinct()
     quoted = F.concat(F.lit('#"'), F.replace("name", F.lit('"'), F.lit('""')), F.lit('"'))
     pattern = F.concat(F.lit(r"(?iu)(?<![A-Za-z0-9_])\Q"), F.replace("name", F.lit(r"\E"), F.lit(r"\E\\E\Q")),
                        F.lit(r"\E(?![A-Za-z0-9_.])"))
-    held = pairs.join(texts.select(*s, *k, masked, F.lower(masked).alias("_low")), [*s, *k])
+    held = pairs.join(shuffled(texts.select(*s, *k, masked, F.lower(masked).alias("_low"))), [*s, *k])
     # A plain substring test first: it settles most candidates, and patterns that differ by row are slow.
     found = F.contains(F.col("_low"), F.lower("name")) & F.rlike(F.col(masked), pattern)
     return held.where(F.contains(F.col("_low"), F.lower(quoted)) | found).select(*s, *k, "name")
@@ -212,7 +212,7 @@ def query_refs(queries: DataFrame, scope: Sequence[str], key: Sequence[str]) ->
     own = local_steps(texts, [*s, *k]).select(*s, *k, fold("step").alias("_n")).distinct()
     self_name = queries.select(*s, *k, fold("query").alias("_n"))
     return hits.withColumn("_n", fold("name")).join(
-        own.unionByName(self_name).distinct(), [*s, *k, "_n"], "left_anti"
+        shuffled(own.unionByName(self_name).distinct()), [*s, *k, "_n"], "left_anti"
     ).drop("_n")
 
 
