@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import Buckets, cut
+from ..session import Buckets, cut, shuffled
 from .ranking import first_by
 
 EDGES_PER_TASK = 1_000_000
@@ -40,8 +40,8 @@ def _next_nodes(frontier: DataFrame, adj: Buckets, fan: DataFrame | None, visite
         here = here.join(fan, [*scope, "src"], "left").withColumn(
             "_piece", F.explode(F.sequence(F.lit(0), F.coalesce("_fan", F.lit(1)) - 1))
         ).drop("_fan")
-    hop = here.join(adj.all(), adj.keys).select(*label, *scope, F.col("dst").alias("node"))
-    return hop.distinct().join(visited.all(), key, "left_anti").select(*key)
+    hop = here.join(shuffled(adj.all()), adj.keys).select(*label, *scope, F.col("dst").alias("node"))
+    return hop.distinct().join(shuffled(visited.all()), key, "left_anti").select(*key)
 
 
 def reachable(roots: DataFrame, edges: DataFrame, scope: Sequence[str], label: Sequence[str] = (),
@@ -57,7 +57,7 @@ def reachable(roots: DataFrame, edges: DataFrame, scope: Sequence[str], label: S
     scope, label = list(scope), list(label)
     key = [*label, *scope, "node"]
     if known is not None:
-        edges = edges.join(known.select(*scope, F.col("node").alias("src")).distinct(), [*scope, "src"], "left_semi")
+        edges = edges.join(shuffled(known.select(*scope, F.col("node").alias("src")).distinct()), [*scope, "src"], "left_semi")
     adj, fan = _adjacency(edges, scope, per_task)
     visited = Buckets(roots.select(*key).distinct(), key)
     while not (frontier := visited.batch(visited.batches - 1)).isEmpty():
@@ -239,7 +239,7 @@ def chase(pointers: DataFrame, scope: Sequence[str]) -> DataFrame:
         ahead = todo.select(*s, F.col("node").alias("next"), F.col("next").alias("after")).withColumn("_t", F.lit(True))
         found = settled.select(*s, F.col("node").alias("next"), F.col("answer").alias("_a"), F.col("ends").alias("_e"))
         step = (
-            todo.drop("answer", "ends").join(found, [*s, "next"], "left").join(ahead, [*s, "next"], "left")
+            todo.drop("answer", "ends").join(shuffled(found), [*s, "next"], "left").join(shuffled(ahead), [*s, "next"], "left")
             .select(*s, "node", F.when(F.col("_t"), F.col("after")).otherwise(F.col("next")).alias("next"),
                     F.col("_a").alias("answer"),
                     F.when(F.col("_e").isNotNull(), F.col("_e"))
