@@ -149,12 +149,21 @@ _PLAIN = r"a-z0-9_\x{80}-\x{10FFFF}"
 
 
 def _block_words(c: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"[a-z0-9_]+|[^\x00-\x7F]"), F.lit(0)))
+    """Runs of ASCII letters, digits and underscores, and every other character beyond ASCII by itself."""
+    low = F.lower(c)
+    # Two patterns, as one with both as alternatives takes three times as long.
+    beyond = F.split(F.regexp_replace(low, r"[\x00-\x7F]+", ""), "")
+    return F.array_distinct(F.array_remove(F.concat(F.regexp_extract_all(low, F.lit("[a-z0-9_]+"), F.lit(0)), beyond), ""))
+
+
+def _mark_runs(c: Column) -> Column:
+    """The distinct runs of marks, characters that are part of no word, with a letter between them."""
+    return F.array_join(F.array_distinct(F.split(F.lower(c), f"[{_PLAIN}]+")), "a")
 
 
-def _block_marks(c: Column, n: int) -> Column:
-    """All runs of n marks, characters that are part of no word; runs overlap."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(f"(?s)(?=([^{_PLAIN}]{{{n}}}))"), F.lit(1)))
+def _block_marks(runs: Column, n: int) -> Column:
+    """All sequences of n marks in runs of them; they overlap."""
+    return F.array_distinct(F.regexp_extract_all(runs, F.lit(f"(?s)(?=([^{_PLAIN}]{{{n}}}))"), F.lit(1)))
 
 
 def names_in_text(texts: DataFrame, names: DataFrame, scope: Sequence[str], key: Sequence[str],
@@ -169,9 +178,10 @@ def names_in_text(texts: DataFrame, names: DataFrame, scope: Sequence[str], key:
     """
     s, k = list(scope), list(key)
     asked = names.select(*s, "name").distinct().select(*s, "name", _block_words(F.col("name")).alias("_a"))
-    marks = F.when(F.length("name") > 1, _block_marks(F.col("name"), 2)).otherwise(_block_marks(F.col("name"), 1))
+    marks = F.when(F.length("name") > 1, _block_marks(_mark_runs(F.col("name")), 2)).otherwise(_block_marks(_mark_runs(F.col("name")), 1))
     asked = asked.select(*s, "name", F.explode(F.when(F.size("_a") > 0, F.col("_a")).otherwise(marks)).alias("_w"))
-    held = F.concat(_block_words(F.col(masked)), _block_marks(F.col(masked), 2), _block_marks(F.col(masked), 1))
+    runs = _mark_runs(F.col(masked))
+    held = F.concat(_block_words(F.col(masked)), _block_marks(runs, 2), _block_marks(runs, 1))
     words = texts.select(*s, *k, F.explode(held).alias("_w"))
     words = cut(words.join(few_or_shuffled(asked.select(*s, "_w").distinct()), [*s, "_w"], "left_semi"))
     frequency = words.groupBy(*s, "_w").agg(F.count("*").alias("_n"))
@@ -180,12 +190,13 @@ def names_in_text(texts: DataFrame, names: DataFrame, scope: Sequence[str], key:
     ).drop("_n"))
     pairs = words.join(rarest, [*s, "_w"]).select(*s, *k, "name").distinct()
     quoted = F.concat(F.lit('#"'), F.replace("name", F.lit('"'), F.lit('""')), F.lit('"'))
-    pattern = F.concat(F.lit(r"(?iu)(?<![A-Za-z0-9_])\Q"), F.replace("name", F.lit(r"\E"), F.lit(r"\E\\E\Q")),
-                       F.lit(r"\E(?![A-Za-z0-9_.])"))
-    held = pairs.join(shuffled(texts.select(*s, *k, masked, F.lower(masked).alias("_low"))), [*s, *k])
-    # A plain substring test first: it settles most candidates, and patterns that differ by row are slow.
+    # The name comes first in its pattern and what stands before it is looked at afterwards: that is twice as fast.
+    literal = F.concat(F.lit(r"\Q"), F.replace("name", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    pattern = F.concat(F.lit("(?iu)"), literal, F.lit("(?![A-Za-z0-9_.])(?<![A-Za-z0-9_]"), literal, F.lit(")"))
+    held = pairs.join(shuffled(texts.select(*s, *k, masked, F.lower(masked).alias("_low"), F.contains(masked, F.lit('#"')).alias("_q"))), [*s, *k])
+    # Plain substring tests first: they settle most candidates, and patterns that differ by row are slow.
     found = F.contains(F.col("_low"), F.lower("name")) & F.rlike(F.col(masked), pattern)
-    return held.where(F.contains(F.col("_low"), F.lower(quoted)) | found).select(*s, *k, "name")
+    return held.where((F.col("_q") & F.contains(F.col("_low"), F.lower(quoted))) | found).select(*s, *k, "name")
 
 
 _BINDING = r'(?m)^\s*(#"[^"]*(?:""[^"]*)*"|[A-Za-z_][A-Za-z0-9_.]*)\s*='

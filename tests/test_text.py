@@ -65,3 +65,28 @@ def test_labels(spark):
     one = spark.range(1)
     r = one.select(text.join_distinct(F.array(F.lit("b"), F.lit("A"), F.lit("a"), F.lit(" "))).alias("j"), text.literal_number(F.lit("12.500D")).alias("n")).first()
     assert (r.j, r.n) == ("A | b", "12.5")
+
+
+def test_blocks_of_long_texts_come_from_distinct_runs(spark):
+    texts = ["a, b. " * 1000, "x--y->z%", "éa𝒳ß .)", "İſK_1", "", "  \n ", "日本, a"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, t string")
+    runs = formula._mark_runs(F.col("t"))
+    got = df.orderBy("i").select(F.lower("t").alias("low"), formula._block_words(F.col("t")).alias("w"), runs.alias("r"),
+                                 formula._block_marks(runs, 2).alias("two"), formula._block_marks(runs, 1).alias("one")).collect()
+    for r in got:
+        low = r.low
+        assert sorted(r.w) == sorted(set(re.findall(r"[a-z0-9_]+|[^\x00-\x7f]", low)))
+        for n, marks in ((1, r.one), (2, r.two)):
+            assert sorted(marks) == sorted(set(re.findall(rf"(?s)(?=([^a-z0-9_\x80-\U0010ffff]{{{n}}}))", low)))
+    assert len(got[0].r) < 12
+
+
+def test_names_beside_each_other_and_in_their_own_text(spark):
+    names = ["ab", "b a", "x\\Ey", "𝒳", "é", "aa", '"q"']
+    texts = ["xab ab", "cab", "ab.", "a b a", "1x\\Ey x\\Ey", "x\\Eyz", "a𝒳b", "É", "aaa aa", "aaa", '#"""q"""', '"q"', "ab_ AB"]
+    t = spark.createDataFrame([(0, i, x) for i, x in enumerate(texts)], "s int, id int, masked string")
+    n = spark.createDataFrame([(0, x) for x in names], "s int, name string")
+    got = {(r.id, r.name) for r in formula.names_in_text(t, n, ["s"], ["id"]).collect()}
+    want = {(i, name) for i, x in enumerate(texts) for name in names
+            if ('#"' + name.replace('"', '""') + '"').lower() in x.lower() or re.search(rf"(?<![A-Za-z0-9_]){re.escape(name)}(?![A-Za-z0-9_.])", x, re.I)}
+    assert got == want
