@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import dealt
+
 
 class Tables:
     """The driver's tables and the derived shapes, read lazily with only the columns a query touches."""
@@ -94,10 +96,10 @@ class Tables:
         )
         return docs.unionByName(pages).unionByName(talks)
 
-    def bound_refs(self) -> DataFrame:
-        """References of reports with a local model, with the model they are looked up in."""
+    def bound_refs(self, tasks: int = 1) -> DataFrame:
+        """References of reports with a local model, with the model they are looked up in; dealt by report into that many tasks."""
         local = self.reports().where("kind = 'ByPath'").select("report", "model_id")
-        return self.refs().join(local, "report")
+        return dealt(self.refs(), tasks, "report").join(local, "report")
 
     def direct_roots(self) -> DataFrame:
         """Objects that a visual with number 1 uses, inside the report's own model."""

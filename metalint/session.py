@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -62,6 +62,29 @@ def few_or_shuffled(df: DataFrame, most: int = 100_000) -> DataFrame:
     return F.broadcast(kept) if kept.limit(most + 1).count() <= most else shuffled(kept)
 
 
+#: Rows that one task takes where a table is dealt by its row count.
+TASK_ROWS = 500_000
+
+
+def tasks_for(rows: int) -> int:
+    return -(-rows // TASK_ROWS)
+
+
+def dealt(df: DataFrame, tasks: int, *keys: str) -> DataFrame:
+    """df by hash of keys in that many partitions; left to Spark where it has as many cores.
+
+    Spark makes as many tasks as there are cores as long as none reads above 64 MB, and 64 MB of packed rows with like
+    values can be ten times as much in a sort or an aggregate. So tasks follow the number of rows of large tables.
+    """
+    return df.repartition(tasks, *keys) if tasks > df.sparkSession.sparkContext.defaultParallelism else df
+
+
+def ordered(df: DataFrame, tasks: int, *order: Column | str) -> DataFrame:
+    """df in order, in that many ranges; the number of ranges is left to Spark where it has as many cores."""
+    ranges = df.repartitionByRange(tasks, *order) if tasks > df.sparkSession.sparkContext.defaultParallelism else df
+    return ranges.orderBy(*order)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
