@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from metalint.llm.common import cut, open_folder, scratch_folder, shuffle_width, write_whole
-from metalint.llm.wordhash import batches_of, mix
+from metalint.llm.wordhash import batches_of, hash_spans, mix, text_bytes, word_spans
 
 MAGIC = b"TOKS0001"
 END_ID = 2
@@ -37,8 +37,10 @@ LEVELS = 24
 _NULL_ID = -(2**63)
 _DOC = np.dtype([("doc_id", "<i8"), ("first", "<i8"), ("n", "<i8")])
 _SLOT = np.dtype([("print", "<u4"), ("shard", "<u4"), ("first", "<i8"), ("n", "<i8")])
-#: Words that a worker remembers, about 200 bytes each, and words encoded together; a worker outlives its task.
-_MEMO, _RUN = 600_000, 64
+#: Words that a worker remembers, some 30 bytes each, and words encoded together; a worker outlives its task.
+_MEMO, _RUN = 2_500_000, 64
+_BREAK = np.zeros(256, bool)
+_BREAK[[0x20, 0x09, 0x0A, 0x0D]] = True
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -70,23 +72,98 @@ def letters_go_whole(tokenizer) -> bool:
     return whole and not level["add_prefix_space"] and not level["use_regex"] and not any(t["content"].isalpha() for t in spec["added_tokens"])
 
 
-class WordEncoder(dict):
-    """Bytes of the ids of each piece between blanks, encoded by the tokenizers library when it is first met.
+class _Run:
+    """Sorted keys of words, the place and number of each one's ids, and if it was met again since the last clearing."""
 
-    Only for tokenizers that never join characters across white space, which the constructor checks on a sample; others encode whole texts.
+    def __init__(self, *columns: np.ndarray):
+        self.columns = columns or (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, bool))
+
+    def __len__(self) -> int:
+        return len(self.columns[0])
+
+    def merged(self, other: _Run) -> _Run:
+        both = [np.concatenate(c) for c in zip(self.columns, other.columns, strict=True)]
+        order = np.argsort(both[0], kind="stable")
+        return _Run(*(c[order] for c in both))
+
+    def look_up(self, asked: np.ndarray, first: np.ndarray, n: np.ndarray) -> None:
+        """Fill in place and number of those asked keys, in order, that this run has."""
+        keys, places, counts, met = self.columns
+        if not len(keys):
+            return
+        at = np.searchsorted(keys, asked)
+        at[at == len(keys)] = 0
+        hit = keys[at] == asked
+        first[hit], n[hit], met[at[hit]] = places[at[hit]], counts[at[hit]], True
+
+
+class WordMemo:
+    """Ids of words by the words' 64-bit hashes, in arrays: a long run of keys, a short one that takes new words, and all ids.
+
+    When there are more than _MEMO words, those met again since the last time stay, at most half as many.
+    """
+
+    def __init__(self, dtype: np.dtype):
+        self.long, self.short, self.ids, self.filled = _Run(), _Run(), np.zeros(1024, dtype), 0
+
+    def append(self, ids: np.ndarray) -> int:
+        """The place that the ids get."""
+        if self.filled + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids[:self.filled], np.zeros(self.filled // 2 + len(ids), self.ids.dtype)])
+        self.ids[self.filled:self.filled + len(ids)] = ids
+        self.filled += len(ids)
+        return self.filled - len(ids)
+
+    def look_up(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place and number of the ids of each of the keys, which are in order; the number is -1 for those not known."""
+        first, n = np.zeros(len(keys), np.int64), np.full(len(keys), -1, np.int32)
+        for run in (self.long, self.short):
+            run.look_up(keys, first, n)
+        return first, n
+
+    def learn(self, keys: np.ndarray, coded: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Take new keys, in order, with their ids as bytes; place and number of each."""
+        n = np.array([len(c) for c in coded], np.int32) // np.int32(self.ids.itemsize)
+        first = np.cumsum(n, dtype=np.int64) - n + self.append(np.frombuffer(b"".join(coded), self.ids.dtype))
+        self.short = self.short.merged(_Run(keys, first, n, np.zeros(len(keys), bool)))
+        if len(self.short) > max(32_768, len(self.long) // 8):
+            self.long, self.short = self.long.merged(self.short), _Run()
+        return first, n
+
+    def clear(self) -> None:
+        """Forget words, if there are too many; places given out before are not valid afterwards."""
+        if len(self.long) + len(self.short) <= _MEMO:
+            return
+        keys, first, n, met = self.long.merged(self.short).columns
+        kept = np.flatnonzero(met)[:_MEMO // 2]
+        keys, first, n = keys[kept], first[kept], n[kept]
+        ids = self.ids[_spread(first, n)]
+        self.ids, self.filled = ids, len(ids)
+        self.long, self.short = _Run(keys, np.cumsum(n, dtype=np.int64) - n, n, np.zeros(len(keys), bool)), _Run()
+
+
+def _spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """All places of pieces that begin at first and have n places each."""
+    return np.repeat(first - (np.cumsum(n, dtype=np.int64) - n), n) + np.arange(int(n.sum(dtype=np.int64)))
+
+
+class WordEncoder:
+    """Ids of texts from those of the pieces between blanks, which the tokenizers library encodes when they are first met.
+
+    Only for tokenizers that never join characters across white space, which the constructor checks on a sample; others
+    encode whole texts. Pieces are told apart by 64-bit hashes.
     """
 
     def __init__(self, path: str, end_id: int):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
-        super().__init__()
-        self.older: dict[str, bytes] = {}
         self.model = None
         self.tokenizer = Tokenizer.from_file(path)
         size = max(self.tokenizer.get_vocab_size() - 1, end_id)
         self.dtype = np.dtype("<u2" if size < 2**16 else "<u4")
-        self.end = np.array([end_id], self.dtype).tobytes()
+        self.end = np.array([end_id], self.dtype)
+        self.memo = WordMemo(self.dtype)
         sample = " Don't  stop\n\tat 3.14 of it,\r\n café <b> 42nd "
         pieces = [i for w in _pieces(sample) for i in self._ids(w)]
         self.by_word = pieces == self._ids(sample)
@@ -98,29 +175,19 @@ class WordEncoder(dict):
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids if text else []
 
-    def _learn(self, words: set[str]) -> None:
-        """Encode the words that are not known yet, _RUN of them as one text; words that reach the model whole go to it straight.
-
-        Words are kept in two generations: when the younger one is full it becomes the older one, whose words come
-        back as they are met, so words in use are not learnt again.
-        """
-        new = [w for w in words if w not in self]
-        if len(self) + len(new) > _MEMO // 2:
-            self.older = dict(self)
-            self.clear()
-            new = list(words)
-        fresh = []
-        for word in new:
-            ids = self.older.get(word)
-            if ids is not None:
-                self[word] = ids
-            elif self.model is not None and word.isascii() and word.isalpha():
-                self[word] = array(self.dtype.char, [t.id for t in self.model.tokenize(word.lower())]).tobytes()
+    def _words_ids(self, words: list[str]) -> list[bytes]:
+        """Ids of each word, _RUN of them encoded as one text; words that reach the model whole go to it straight."""
+        out, fresh = [b""] * len(words), []
+        for i, word in enumerate(words):
+            if self.model is not None and word.isascii() and word.isalpha():
+                out[i] = array(self.dtype.char, [t.id for t in self.model.tokenize(word.lower())]).tobytes()
             else:
-                fresh.append(word)
+                fresh.append(i)
         for at in range(0, len(fresh), _RUN):
             run = fresh[at:at + _RUN]
-            self.update(zip(run, self._run_ids(run), strict=True))
+            for i, data in zip(run, self._run_ids([words[i] for i in run]), strict=True):
+                out[i] = data
+        return out
 
     def _run_ids(self, run: list[str]) -> list[bytes]:
         """Ids of each word of a run: one call for all, with a mark between them whose single id tells them apart."""
@@ -135,13 +202,27 @@ class WordEncoder(dict):
                 return [data[(low + 1) * width:high * width] for low, high in zip(bounds[:-1], bounds[1:], strict=True)]
         return [np.array(got.ids, self.dtype).tobytes() for got in self.tokenizer.encode_batch_fast(run, add_special_tokens=False)]
 
-    def encode_all(self, texts: list[str]) -> list[bytes]:
+    def encode_all(self, texts: pa.Array | list[str]) -> list[bytes]:
         """Ids of each text with the end id, as bytes."""
         if not self.by_word:
-            return [np.array(self._ids(t), self.dtype).tobytes() + self.end for t in texts]
-        pieces = [_pieces(t) for t in texts]
-        self._learn(set().union(*pieces))
-        return [b"".join(map(self.__getitem__, p)) + self.end for p in pieces]
+            texts = texts.to_pylist() if isinstance(texts, pa.Array) else texts
+            return [np.array(self._ids(t or ""), self.dtype).tobytes() + self.end.tobytes() for t in texts]
+        raw, offsets = text_bytes(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()))
+        starts, ends, bounds = word_spans(raw, offsets, _BREAK)
+        keys, sample, at = np.unique(hash_spans(raw, starts, ends), return_index=True, return_inverse=True)
+        first, n = self.memo.look_up(keys)
+        new = np.flatnonzero(n < 0)
+        if len(new):
+            data, spans = raw.tobytes(), zip(starts[sample[new]].tolist(), ends[sample[new]].tolist(), strict=True)
+            first[new], n[new] = self.memo.learn(keys[new], self._words_ids([data[lo:hi].decode() for lo, hi in spans]))
+        end = self.memo.append(self.end)
+        lengths = np.insert(n[at], bounds[1:], 1)
+        coded = self.memo.ids[_spread(np.insert(first[at], bounds[1:], end), lengths)].tobytes()
+        edges = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])[np.concatenate([[0], bounds[1:] + np.arange(1, len(bounds))])]
+        edges = (edges * self.dtype.itemsize).tolist()
+        self.memo.filled = end
+        self.memo.clear()
+        return [coded[lo:hi] for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
 
 
 def encoder(path: str, end_id: int) -> WordEncoder:
@@ -171,7 +252,7 @@ def _shard_writer(path: str, end_id: int, folder: str):
             ids, table, total = [], [], 0
 
         for batch in batches_of(batches, 512):
-            coded = code.encode_all([t or "" for t in batch.column("text").to_pylist()])
+            coded = code.encode_all(batch.column("text"))
             for doc_id, data in zip(batch.column("doc_id").to_pylist(), coded, strict=True):
                 n = len(data) // code.dtype.itemsize
                 if table and total + n > SHARD_IDS:

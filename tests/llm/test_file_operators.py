@@ -65,6 +65,28 @@ def test_words_forgotten_and_met_again(monkeypatch):
         assert [np.frombuffer(x, "<u2").tolist() for x in code.encode_all(texts)] == [i.tolist() for i in ids_of(texts)]
 
 
+def test_many_words_stay_known(monkeypatch):
+    """700,000 words are encoded once each, as long as they are met again, and a word takes some 30 bytes."""
+    code = token_shards.WordEncoder(PATH, 2)
+    asked, plain = [], code.tokenizer
+
+    class Counting:
+        def encode_batch_fast(self, texts, add_special_tokens):
+            asked.append(len(texts))
+            return plain.encode_batch_fast(texts, add_special_tokens=add_special_tokens)
+
+    code.tokenizer = Counting()
+    texts = [" ".join(f"{i:x}." for i in range(lo, lo + 70_000)) for lo in range(0, 700_000, 70_000)]
+    once = [code.encode_all([t]) for t in texts]
+    first = len(asked)
+    assert [code.encode_all([t]) for t in texts] == once and len(asked) == first
+    memo = code.memo
+    held = memo.ids.nbytes + sum(c.nbytes for run in (memo.long, memo.short) for c in run.columns)
+    assert held < 50 * 700_000
+    monkeypatch.setattr(token_shards, "_MEMO", 100_000)
+    assert [code.encode_all([t]) for t in texts] == once and len(memo.long) + len(memo.short) <= 170_000
+
+
 def test_any_text_by_words():
     code = token_shards.WordEncoder(PATH, 2)
     rng = random.Random(2)
