@@ -8,9 +8,11 @@ symbols their share, less a discount, and hands the rest of its mass to its suff
 every distribution sums to one. A token is scored in the state of its longest suffix.
 
 All counts are absolute, so what is learnt grows with the input, and nothing that is learnt comes to the driver or is
-broadcast. Texts are cut into chunks. For each depth a chunk sends its distinct contexts and next symbols; their totals
-are counted, states picked, and each chunk gets a file with those that it has itself, from which it is scored. A next
-symbol is only counted at a depth where it was found at the depth before, which its total there cannot be below.
+broadcast. Texts are cut into chunks, which are kept as places in their list of words. For each depth a chunk sends the keys of
+its contexts with next symbols and is sent their totals; how often a context occurs is the total of the same string as context
+and next symbol at the depth before. Then it sends its share of what contexts gain and is sent the states it has itself, from
+which it is scored. A next symbol is only counted at a depth where it was found at the depth before, which its total
+there cannot be below.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ DIVERGENCE = 0.01
 DISCOUNT = 0.5
 ADDED = 0.1
 HELD_OUT = 10
-CHUNK_BYTES = 24_000_000
+CHUNK_BYTES = 16_000_000
 #: The hash that stands for the end of a text among the words.
 END = np.uint64(0xE0F0E0F0E0F0E0F1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -96,12 +98,16 @@ def entry_keys(context: np.ndarray, symbols: np.ndarray) -> np.ndarray:
 
 
 def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Place of each key in a sorted table, -1 where it isn't in it."""
+    """Place of each key in a sorted table, -1 where it isn't in it. Keys are looked up in order, as that is much faster."""
     if not len(table):
         return np.full(len(keys), -1)
+    order = np.argsort(keys)
+    keys = keys[order]
     at = np.searchsorted(table, keys)
     at[at == len(table)] = 0
-    return np.where(table[at] == keys, at, -1)
+    out = np.empty(len(keys), np.int64)
+    out[order] = np.where(table[at] == keys, at, -1)
+    return out
 
 
 def _chunk_name(chunk: int, part: str) -> str:
@@ -131,11 +137,12 @@ def _chunk_writer(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
             nonlocal made, held, size
             table = pa.Table.from_batches(held).combine_chunks()
             chunk = piece << 20 | made
-            _write_part(folder, chunk, "texts", table)
             tokens, bounds = tokens_of(table.column("text").combine_chunks())
             train = np.repeat([not is_held_out(d) for d in table.column("doc_id").to_pylist()], np.diff(bounds))
             words, at = np.unique(tokens, return_inverse=True)
             counts = np.bincount(at[train], minlength=len(words))
+            _write_part(folder, chunk, "docs", pa.table({"doc_id": table.column("doc_id"), "n": pa.array(np.diff(bounds).astype(np.int64))}))
+            _write_part(folder, chunk, "tokens", pa.table({"word": pa.array(at.astype(np.int32))}))
             for lo in range(0, len(words), 65536):
                 part = slice(lo, lo + 65536)
                 yield pa.RecordBatch.from_arrays([
@@ -160,88 +167,131 @@ class Root:
 
     tokens: int
     distinct: int
-    other_share: float
+    named: int
+    others: int
+
+    @property
+    def other_share(self) -> float:
+        """Of all words that are no symbols."""
+        return (self.others + ADDED * (self.distinct + 1 - self.named)) / (self.tokens + ADDED * (self.distinct + 1))
 
     def logs(self, counts: np.ndarray) -> np.ndarray:
         return np.log((counts + ADDED) / (self.tokens + ADDED * (self.distinct + 1)))
 
 
 def _part_writer(folder: str, part: str) -> Callable[[pa.Table], pa.Table]:
-    """Keeps what a chunk is sent, in order of its keys, and tells how many of these are words or next symbols."""
+    """Keeps what a chunk is sent, in order of its keys."""
 
     def run(group: pa.Table) -> pa.Table:
         chunk, key = group.column("chunk")[0].as_py(), group.column("key").to_numpy().view(np.uint64)
-        order = pa.array(np.argsort(key))
-        _write_part(folder, chunk, part, group.drop_columns(["chunk"]).take(order).combine_chunks())
-        state = group.column("state").to_numpy()
-        return pa.table({"chunk": pa.array([chunk], pa.int64()), "n": pa.array([int((~state).sum())], pa.int64())})
+        _write_part(folder, chunk, part, group.drop_columns(["chunk"]).take(pa.array(np.argsort(key))).combine_chunks())
+        return pa.table({"chunk": pa.array([chunk], pa.int64())})
 
     return run
 
 
 def _send_back(rows: DataFrame, folder: str, part: str) -> DataFrame:
-    """(chunk, n) of rows (chunk, key, state, value), each chunk's rows kept in its file."""
-    return cut(rows.select("chunk", "key", "state", "value").groupBy("chunk").applyInArrow(_part_writer(folder, part), "chunk long, n long"))
-
-
-def _words_of(folder: str, chunk: int, root: Root) -> tuple[Tree, np.ndarray, np.ndarray]:
-    """A tree without states of the symbols in a chunk, the chunk's words and their counts."""
-    table = _read_part(folder, chunk, "words")
-    words, counts = table.column("key").to_numpy().view(np.uint64), table.column("value").to_numpy()
-    named = words[counts >= MIN_COUNT]
-    return Tree(named, root.other_share, root.tokens, root.distinct, names=named), words, counts
-
-
-def _found(folder: str, chunk: int, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """States and backing-off weights, next symbols and log probabilities (not a number outside states) of a depth."""
-    store, path = open_folder(folder)
-    if store.get_file_info(f"{path}/{_chunk_name(chunk, f'depth{depth}')}").type == fs.FileType.NotFound:
-        return np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.uint64), np.zeros(0)
-    table = _read_part(folder, chunk, f"depth{depth}")
-    key, value = table.column("key").to_numpy().view(np.uint64), table.column("value").to_numpy()
-    state = table.column("state").to_numpy()
-    return key[state], value[state], key[~state], value[~state]
+    """(chunk) of rows (chunk, key, values), each chunk's rows kept in its file."""
+    return cut(rows.groupBy("chunk").applyInArrow(_part_writer(folder, part), "chunk long"))
 
 
-def _context_rows(folder: str, root: Root, depth: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(chunk, context, key, logq, n): distinct contexts with next symbols of each chunk and their training counts.
+@dataclass
+class Layer:
+    """What is known of each token of a chunk at one depth.
 
-    key names context and symbol, or is the context for the count of all that follows it. logq is the symbol's log
-    probability after the context's suffix, null where that is no state. Texts held out have rows that count nothing.
+    context is the key of the symbols before it and all_n how often these occur; n, how often the token's symbol follows
+    them (0 where that is below MIN_COUNT), stands at place in the chunk's table of next symbols, of which each is first in one chunk.
     """
 
-    def rows_of(chunk: int) -> Iterator[pa.RecordBatch]:
-        table = _read_part(folder, chunk, "texts")
-        tokens, bounds = tokens_of(table.column("text").combine_chunks())
-        train = np.repeat([not is_held_out(d) for d in table.column("doc_id").to_pylist()], np.diff(bounds))
-        tree, words, counts = _words_of(folder, chunk, root)
-        symbols = tree.symbols(tokens)
-        keys = context_keys(symbols, bounds, depth)
-        if depth == 1:
-            logq = np.where(symbols == 0, np.log(root.other_share), root.logs(counts[np.searchsorted(words, tokens)]))
-            found = whole = np.ones(len(tokens), bool)
-        else:
-            *_, entries, logs = _found(folder, chunk, depth - 1)
-            place = _find(entries, entry_keys(keys[-2], symbols))
-            found = place >= 0
-            logq = logs[place] if len(logs) else np.zeros(len(tokens))
-            # As the string of a context is one of these too, a context without it follows once at most.
-            whole = np.concatenate([[True], found[:-1]])
-            for back in range(depth):
-                whole[np.minimum(bounds[:-1] + back, bounds[1:] - 1)] = True
-        context, key = keys[-1][found], entry_keys(keys[-1][found], symbols[found])
-        key, first, at = np.unique(key, return_index=True, return_inverse=True)
-        n = np.bincount(at, train[found], minlength=len(key))
-        all_key, at = np.unique(keys[-1][whole], return_inverse=True)
-        all_n = np.bincount(at, train[whole], minlength=len(all_key))
-        logq = np.concatenate([logq[found][first], np.full(len(all_key), np.nan)])
-        columns = [np.concatenate([context[first], all_key]).view(np.int64), np.concatenate([key, all_key]).view(np.int64), logq, np.concatenate([n, all_n]).astype(np.int64)]
-        for lo in range(0, len(logq), 65536):
-            context, key, q, n = (c[lo:lo + 65536] for c in columns)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(q), chunk, np.int64)), pa.array(context), pa.array(key), pa.array(q, mask=np.isnan(q)), pa.array(n)],
-                names=["chunk", "context", "key", "logq", "n"])
-
+    context: np.ndarray
+    all_n: np.ndarray
+    n: np.ndarray
+    place: np.ndarray
+    first: np.ndarray
+
+    def logs(self) -> np.ndarray:
+        """Log of the share of each token's symbol, less the discount, where it is one of the next symbols."""
+        return np.log(np.where(self.n > 0, (self.n - DISCOUNT) / np.maximum(self.all_n, 1), 1.0))
+
+
+class Chunk:
+    """The tokens of a chunk, as the files that it has tell them."""
+
+    def __init__(self, folder: str, chunk: int, root: Root):
+        self.folder, self.chunk, self.root = folder, chunk, root
+        docs, words = _read_part(folder, chunk, "docs"), _read_part(folder, chunk, "words")
+        at = _read_part(folder, chunk, "tokens").column("word").to_numpy()
+        key, count = words.column("key").to_numpy().view(np.uint64), words.column("value").to_numpy()
+        named = count >= MIN_COUNT
+        self.ids, self.bounds = docs.column("doc_id").combine_chunks(), np.concatenate([[0], np.cumsum(docs.column("n").to_numpy())])
+        self.held = [is_held_out(d) for d in self.ids.to_pylist()]
+        self.count, self.symbols = count[at], np.where(named, key, np.uint64(0))[at]
+        self.n = np.where(named, count, root.others)[at]
+        # Where the end is a symbol, before a text stands nothing else; else other words' symbol stands there too.
+        ends = int(self.count[self.bounds[1] - 1])
+        self.ends, self.mixed = ends, ends < MIN_COUNT
+
+    def train(self) -> np.ndarray:
+        return np.repeat(~np.array(self.held, bool), np.diff(self.bounds))
+
+    def before(self, values: np.ndarray, at_start: float) -> np.ndarray:
+        """The value of the token before each token."""
+        out = np.empty_like(values)
+        out[1:] = values[:-1]
+        out[self.bounds[:-1]] = at_start
+        return out
+
+    def unclear(self) -> np.ndarray:
+        """Tokens before which the end and other words have the same symbol: how often a context occurs is counted for these."""
+        return self.mixed & (self.before(self.symbols, 0) == 0)
+
+    def base(self) -> np.ndarray:
+        return self.root.logs(self.count)
+
+    def contexts(self, depth: int) -> list[np.ndarray]:
+        return context_keys(self.symbols, self.bounds, depth)
+
+    def _table(self, part: str) -> pa.Table | None:
+        """A file of the chunk; None where it was sent nothing."""
+        store, path = open_folder(self.folder)
+        there = store.get_file_info(f"{path}/{_chunk_name(self.chunk, part)}").type != fs.FileType.NotFound
+        return _read_part(self.folder, self.chunk, part) if there else None
+
+    def counted(self, depth: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place of each key among those counted at a depth, its count (0 where it isn't one), and if the chunk has it first, by place."""
+        table = self._table(f"counts{depth}")
+        if table is None:
+            return np.full(len(keys), -1), np.zeros(len(keys), np.int64), np.zeros(0, bool)
+        place = _find(table.column("key").to_numpy().view(np.uint64), keys)
+        return place, np.where(place >= 0, table.column("c").to_numpy()[place], 0), table.column("first").to_numpy(zero_copy_only=False)
+
+    def layers(self, depth: int) -> Iterator[tuple[int, Layer]]:
+        below = self.n
+        for d, context in enumerate(self.contexts(depth), 1):
+            place, n, first = self.counted(d, entry_keys(context, self.symbols))
+            all_n = self.before(below, self.ends)
+            if self.mixed:
+                unclear = np.flatnonzero(self.unclear())
+                all_n[unclear] = self.counted(d, context[unclear])[1]
+            yield d, Layer(context, all_n, n, place, first)
+            below = n
+
+    def states(self, depth: int, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """If each context is a state of a depth, and its backing-off weight."""
+        table = self._table(f"states{depth}")
+        if table is None:
+            return np.zeros(len(context), bool), np.zeros(len(context))
+        at = _find(table.column("key").to_numpy().view(np.uint64), context)
+        return at >= 0, table.column("backoff").to_numpy()[at]
+
+
+def _batches(chunk: int, names: list[str], *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for lo in range(0, len(columns[0]), 65536):
+        part = [pa.array(c[lo:lo + 65536]) for c in columns]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part[0]), chunk, np.int64)), *part], names=["chunk", *names])
+
+
+def _each_chunk(rows_of: Callable[[int], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in batch.column("chunk").to_pylist():
@@ -250,26 +300,66 @@ def _context_rows(folder: str, root: Root, depth: int) -> Callable[[Iterator[pa.
     return run
 
 
-def _grow_depth(folder: str, chunks: DataFrame, root: Root, depth: int) -> int:
-    """Count the contexts of one depth, pick its states and send every chunk its own; the number of symbols sent."""
-    spark, place = chunks.sparkSession, f"{folder}/counts{depth}"
+def _symbol_rows(folder: str, root: Root, depth: int) -> Callable[[int], Iterator[pa.RecordBatch]]:
+    """(chunk, key, n): distinct contexts with next symbols of a chunk, by key, and their training counts.
+
+    Texts held out have rows that count nothing.
+    """
+
+    def rows_of(number: int) -> Iterator[pa.RecordBatch]:
+        chunk = Chunk(folder, number, root)
+        keys, train = chunk.contexts(depth), chunk.train()
+        found = slice(None) if depth == 1 else chunk.counted(depth - 1, entry_keys(keys[-2], chunk.symbols))[1] > 0
+        asked, counts = entry_keys(keys[-1], chunk.symbols)[found], train[found]
+        if chunk.mixed:
+            unclear = chunk.unclear()
+            asked, counts = np.concatenate([asked, keys[-1][unclear]]), np.concatenate([counts, train[unclear]])
+        key, at = np.unique(asked, return_inverse=True)
+        yield from _batches(number, ["key", "n"], key.view(np.int64), np.bincount(at, counts, minlength=len(key)).astype(np.int64))
+
+    return rows_of
+
+
+def _context_rows(folder: str, root: Root, depth: int) -> Callable[[int], Iterator[pa.RecordBatch]]:
+    """(chunk, key, p, q, gain): distinct contexts of a chunk that may be states, as their suffixes are.
+
+    p and q sum up the probabilities of next symbols after the context and after its suffix, gain how these diverge, all
+    over the next symbols that the chunk has first.
+    """
+
+    def rows_of(number: int) -> Iterator[pa.RecordBatch]:
+        chunk = Chunk(folder, number, root)
+        live, logq = np.ones(len(chunk.symbols), bool), np.where(chunk.symbols == 0, np.log(root.other_share), chunk.base())
+        for d, layer in chunk.layers(depth):
+            if d == depth - 1:
+                live, logq = chunk.states(d, layer.context)[0], layer.logs()
+        contexts = np.unique(layer.context[live & (layer.all_n >= MIN_COUNT)])
+        token = np.full(len(layer.first), -1)
+        hit = np.flatnonzero(layer.n > 0)
+        token[layer.place[hit]] = hit
+        token = token[layer.first & (token >= 0)]
+        token = token[live[token]]
+        at, logp, logq = np.searchsorted(contexts, layer.context[token]), layer.logs()[token], logq[token]
+        sums = [np.bincount(at, x, minlength=len(contexts)).astype(float) for x in (np.exp(logp), np.exp(logq), np.exp(logp) * (logp - logq))]
+        yield from _batches(number, ["key", "p", "q", "gain"], contexts.view(np.int64), *sums)
+
+    return rows_of
+
+
+def _grow_depth(folder: str, chunks: DataFrame, root: Root, depth: int) -> bool:
+    """Count the next symbols of one depth, pick its states and send every chunk its own; if there was any."""
     by_key = Window.partitionBy("key")
-    rows = chunks.mapInArrow(_context_rows(folder, root, depth), "chunk long, context long, key long, logq double, n long")
+    rows = chunks.mapInArrow(_each_chunk(_symbol_rows(folder, root, depth)), "chunk long, key long, n long")
     rows = rows.withColumn("c", F.sum("n").over(by_key)).withColumn("first", F.min("chunk").over(by_key) == F.col("chunk"))
-    rows.where(F.col("c") >= MIN_COUNT).drop("n").write.option("compression", "zstd").parquet(place)
-    rows = spark.read.parquet(place)
-    entry, left = F.col("key") != F.col("context"), F.col("c") - DISCOUNT
-    states = rows.where("first").groupBy("context").agg(
-        F.max(F.when(~entry, F.col("c"))).alias("all_n"), F.sum(F.when(entry, left)).alias("p"), F.sum(F.when(entry, F.exp("logq"))).alias("q"),
-        F.sum(F.when(entry, left * (F.log(left) - F.col("logq")))).alias("gain")).where("q is not null")
-    rest_p, rest_q = (1 - F.least(x, F.lit(1 - 1e-12)) for x in (F.col("p") / F.col("all_n"), F.col("q")))
-    gain = F.col("gain") / F.col("all_n") - F.col("p") / F.col("all_n") * F.log("all_n") + rest_p * F.log(rest_p / rest_q)
-    states = states.where(gain >= DIVERGENCE).select("context", "all_n", F.log(rest_p / rest_q).alias("backoff"))
-    sent = rows.join(states, "context", "left").where(entry | F.col("all_n").isNotNull())
-    sent = sent.select("chunk", "key", (~entry).alias("state"), F.when(entry, F.log(left / F.col("all_n"))).otherwise(F.col("backoff")).alias("value"))
-    n = _send_back(sent, folder, f"depth{depth}").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    drop_folder(place)
-    return n
+    if _send_back(rows.where(F.col("c") >= MIN_COUNT).select("chunk", "key", "c", "first"), folder, f"counts{depth}").isEmpty():
+        return False
+    rows = chunks.mapInArrow(_each_chunk(_context_rows(folder, root, depth)), "chunk long, key long, p double, q double, gain double")
+    p, q, gain = (F.sum(c).over(by_key) for c in ("p", "q", "gain"))
+    rows = rows.select("chunk", "key", F.least(p, F.lit(1 - 1e-12)).alias("p"), F.least(q, F.lit(1 - 1e-12)).alias("q"), gain.alias("gain"))
+    rows = rows.withColumn("backoff", F.log((1 - F.col("p")) / (1 - F.col("q"))))
+    states = rows.where(F.col("gain") + (1 - F.col("p")) * F.col("backoff") >= DIVERGENCE)
+    _send_back(states.select("chunk", "key", "backoff"), folder, f"states{depth}")
+    return True
 
 
 def _suffix_probability(tree: Tree, above: np.ndarray, symbols: np.ndarray, root: np.ndarray) -> np.ndarray:
@@ -307,55 +397,50 @@ def _keys_of_strings(strings: np.ndarray) -> list[np.ndarray]:
     return keys
 
 
-def log_probabilities(tree: Tree, tokens: np.ndarray, bounds: np.ndarray, base: np.ndarray) -> np.ndarray:
-    """Natural log probability of each token; base has those of the root for the words themselves."""
-    symbols = tree.symbols(tokens)
-    keys = context_keys(symbols, bounds, len(tree.states))
-    out = np.zeros(len(tokens))
-    left = np.ones(len(tokens), bool)
+def _backed_off(found: list[tuple[np.ndarray, ...]], symbols: np.ndarray, base: np.ndarray, other_share: float) -> np.ndarray:
+    """Natural log probability of each token.
+
+    found has for each depth if its context is a state, the backing-off weight, if its symbol is a next symbol, and that one's log
+    probability; base has those of the root for the words themselves.
+    """
+    out = np.zeros(len(symbols))
+    left = np.ones(len(symbols), bool)
     # States are closed under suffixes, so a state of one depth has one of each smaller depth.
-    for states, backoff, entries, logs, key in zip(tree.states[::-1], tree.backoff[::-1], tree.entries[::-1], tree.logs[::-1], keys[::-1], strict=True):
-        at = np.flatnonzero(left)
-        state = _find(states, key[at])
-        at, state = at[state >= 0], state[state >= 0]
-        entry = _find(entries, entry_keys(key[at], symbols[at]))
-        hit = entry >= 0
-        out[at[hit]] += logs[entry[hit]]
-        out[at[~hit]] += backoff[state[~hit]]
-        left[at[hit]] = False
+    for state, backoff, follows, logs in found[::-1]:
+        hit, miss = left & state & follows, left & state & ~follows
+        out[hit] += logs[hit]
+        out[miss] += backoff[miss]
+        left &= ~hit
     out[left] += base[left]
     # A hit of the symbol for all other words still has to name the word.
     unnamed = ~left & (symbols == 0)
-    out[unnamed] += base[unnamed] - np.log(tree.other_share)
+    out[unnamed] += base[unnamed] - np.log(other_share)
     return out
 
 
-def _scorer(folder: str, root: Root, depth: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def scored(chunk: int) -> pa.RecordBatch:
-        table = _read_part(folder, chunk, "texts")
-        tree, words, counts = _words_of(folder, chunk, root)
-        for d in range(1, depth + 1):
-            states, backoff, entries, logs = _found(folder, chunk, d)
-            known = ~np.isnan(logs)
-            for of, values in ((tree.states, states), (tree.backoff, backoff), (tree.entries, entries[known]), (tree.logs, logs[known])):
-                of.append(values)
-        tokens, bounds = tokens_of(table.column("text").combine_chunks())
-        count = counts[np.searchsorted(words, tokens)]
-        base = root.logs(count)
-        score = log_probabilities(tree, tokens, bounds, base)
-        ids = table.column("doc_id").to_pylist()
-        return pa.RecordBatch.from_pydict({
-            "doc_id": table.column("doc_id").combine_chunks(), "held_out": pa.array([is_held_out(d) for d in ids], pa.bool_()),
-            "n_tokens": pa.array(np.diff(bounds).astype(np.int64)), "n_known": pa.array(sums_between(count > 0, bounds)),
-            "train_tokens": pa.array(np.full(len(ids), root.tokens, np.int64)),
-            "base_score": pa.array(sums_between(base, bounds) / np.log(10)), "score": pa.array(sums_between(score, bounds) / np.log(10))})
+def log_probabilities(tree: Tree, tokens: np.ndarray, bounds: np.ndarray, base: np.ndarray) -> np.ndarray:
+    """Natural log probability of each token by a tree in memory; base has those of the root for the words themselves."""
+    symbols, found = tree.symbols(tokens), []
+    keys = context_keys(symbols, bounds, len(tree.states))
+    for states, backoff, entries, logs, key in zip(tree.states, tree.backoff, tree.entries, tree.logs, keys, strict=True):
+        state, entry = _find(states, key), _find(entries, entry_keys(key, symbols))
+        found.append((state >= 0, np.append(backoff, 0.0)[state], entry >= 0, np.append(logs, 0.0)[entry]))
+    return _backed_off(found, symbols, base, tree.other_share)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for chunk in batch.column("chunk").to_pylist():
-                yield scored(chunk)
 
-    return run
+def _scorer(folder: str, root: Root, depth: int) -> Callable[[int], Iterator[pa.RecordBatch]]:
+    def scored(number: int) -> Iterator[pa.RecordBatch]:
+        chunk = Chunk(folder, number, root)
+        found = [(*chunk.states(d, layer.context), layer.n > 0, layer.logs()) for d, layer in chunk.layers(depth)]
+        base = chunk.base()
+        score = _backed_off(found, chunk.symbols, base, root.other_share)
+        yield pa.RecordBatch.from_pydict({
+            "doc_id": chunk.ids, "held_out": pa.array(chunk.held, pa.bool_()),
+            "n_tokens": pa.array(np.diff(chunk.bounds).astype(np.int64)), "n_known": pa.array(sums_between(chunk.count > 0, chunk.bounds)),
+            "train_tokens": pa.array(np.full(len(chunk.ids), root.tokens, np.int64)),
+            "base_score": pa.array(sums_between(base, chunk.bounds) / np.log(10)), "score": pa.array(sums_between(score, chunk.bounds) / np.log(10))})
+
+    return scored
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -383,12 +468,12 @@ def _scored(rows: DataFrame, folder: str) -> DataFrame:
     many = F.col("c") >= MIN_COUNT
     tokens, distinct, named, n_named = counted.where("turn = 1 and c > 0").agg(
         F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(many, F.col("c"))), F.lit(0)), F.count(F.when(many, 1))).first()
-    root = Root(tokens, distinct, (tokens - named + ADDED * (distinct + 1 - n_named)) / (tokens + ADDED * (distinct + 1)))
-    words = counted.select("chunk", F.col("word").alias("key"), F.lit(False).alias("state"), F.col("c").cast("double").alias("value"))
-    chunks = cut(_send_back(words, folder, "words").select("chunk").repartition(shuffle_width(spark), "chunk"))
+    root = Root(tokens, distinct, n_named, tokens - named)
+    words = counted.select("chunk", F.col("word").alias("key"), F.col("c").alias("value"))
+    chunks = cut(_send_back(words, folder, "words").repartition(shuffle_width(spark), "chunk"))
     drop_folder(f"{folder}/words")
     depth = 0
     while depth < DEPTH and _grow_depth(folder, chunks, root, depth + 1):
         depth += 1
     return chunks.mapInArrow(
-        _scorer(folder, root, depth), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        _each_chunk(_scorer(folder, root, depth)), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
