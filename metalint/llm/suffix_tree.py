@@ -8,11 +8,12 @@ symbols their share, less a discount, and hands the rest of its mass to its suff
 every distribution sums to one. A token is scored in the state of its longest suffix.
 
 All counts are absolute, so what is learnt grows with the input, and nothing that is learnt comes to the driver or is
-broadcast. Texts are cut into chunks, which are kept as places in their list of words. For each depth a chunk sends the keys of
-its contexts with next symbols and is sent their totals; how often a context occurs is the total of the same string as context
-and next symbol at the depth before. Then it sends its share of what contexts gain and is sent the states it has itself, from
-which it is scored. A next symbol is only counted at a depth where it was found at the depth before, which its total
-there cannot be below.
+broadcast. Texts are cut into chunks, which are kept as places in their list of words. For each depth a chunk sends its
+distinct contexts with next symbols and is sent their totals; how often a context occurs is the total of the same string as
+context and next symbol at the depth before. Then it sends what its contexts gain and is sent the weights of those that are
+states. Both travel as packed arrays of keys, one for each range of keys, and answers are arrays in the same order, so a chunk
+makes its keys again and needs none of them back. There are as many ranges as chunks. A next symbol is only counted at a
+depth where it was found at the depth before, which its total there cannot be below.
 """
 
 from __future__ import annotations
@@ -24,7 +25,6 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyspark
-from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -179,34 +179,109 @@ class Root:
         return np.log((counts + ADDED) / (self.tokens + ADDED * (self.distinct + 1)))
 
 
-def _part_writer(folder: str, part: str) -> Callable[[pa.Table], pa.Table]:
-    """Keeps what a chunk is sent, in order of its keys."""
+def _words_writer(folder: str) -> Callable[[pa.Table], pa.Table]:
+    """Keeps the words that a chunk is sent, in order of their hashes."""
 
     def run(group: pa.Table) -> pa.Table:
         chunk, key = group.column("chunk")[0].as_py(), group.column("key").to_numpy().view(np.uint64)
-        _write_part(folder, chunk, part, group.drop_columns(["chunk"]).take(pa.array(np.argsort(key))).combine_chunks())
+        _write_part(folder, chunk, "words", group.drop_columns(["chunk"]).take(pa.array(np.argsort(key))).combine_chunks())
         return pa.table({"chunk": pa.array([chunk], pa.int64())})
 
     return run
 
 
-def _send_back(rows: DataFrame, folder: str, part: str) -> DataFrame:
-    """(chunk) of rows (chunk, key, values), each chunk's rows kept in its file."""
-    return cut(rows.groupBy("chunk").applyInArrow(_part_writer(folder, part), "chunk long"))
+def _pack(values: np.ndarray) -> bytes:
+    """Values of 8 bytes, the bytes of like places together."""
+    return pa.compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack(data: bytes, size: int, dtype: type) -> np.ndarray:
+    raw = pa.decompress(data, decompressed_size=8 * size, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, size).T).view(dtype).reshape(-1)
+
+
+def _pack_keys(keys: np.ndarray) -> bytes:
+    return _pack(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _unpack_keys(data: bytes, size: int) -> np.ndarray:
+    return np.cumsum(_unpack(data, size, np.uint64), dtype=np.uint64)
+
+
+def _sent(chunk: int, ranges: int, keys: np.ndarray, **values: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A row for each range of the keys, which are in order, with the keys and their values packed."""
+    edges = np.searchsorted(keys, np.array([(i << 64) // ranges for i in range(1, ranges)], np.uint64))
+    for i, (lo, hi) in enumerate(zip([0, *edges.tolist()], [*edges.tolist(), len(keys)], strict=True)):
+        if lo < hi:
+            packed = {name: pa.array([_pack(v[lo:hi])], pa.binary()) for name, v in values.items()}
+            yield pa.RecordBatch.from_pydict({
+                "range": pa.array([i], pa.int32()), "chunk": pa.array([chunk], pa.int64()), "size": pa.array([hi - lo], pa.int64()),
+                "keys": pa.array([_pack_keys(keys[lo:hi])], pa.binary()), **packed})
+
+
+def _received(group: pa.Table, *names: str) -> list[np.ndarray]:
+    """The keys of a range from all chunks, one after another, and their values."""
+    sizes = group.column("size").to_pylist()
+    keys = [_unpack_keys(d, n) for d, n in zip(group.column("keys").to_pylist(), sizes, strict=True)]
+    return [np.concatenate(keys), *(np.concatenate([
+        _unpack(d, n, np.float64 if name in ("q", "gain") else np.int64) for d, n in zip(group.column(name).to_pylist(), sizes, strict=True)]) for name in names)]
+
+
+def _answer(group: pa.Table, values: np.ndarray) -> pa.Table:
+    """The values for the keys of a range, packed for each chunk in the order in which it sent them."""
+    ends = np.cumsum(group.column("size").to_numpy())
+    packed = [_pack(values[lo:hi]) for lo, hi in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+    return group.select(["range", "chunk", "size"]).append_column("data", pa.array(packed, pa.binary()))
+
+
+def _count(group: pa.Table) -> pa.Table:
+    """Totals of next symbols, 0 for those below MIN_COUNT, less than 0 in one chunk for each next symbol: there it is first."""
+    keys, n = _received(group, "n")
+    _, first, at = np.unique(keys, return_index=True, return_inverse=True)
+    total = np.bincount(at, n).astype(np.int64)
+    total[total < MIN_COUNT] = 0
+    answer = total[at]
+    answer[first] *= -1
+    return _answer(group, answer)
+
+
+def _pick(group: pa.Table) -> pa.Table:
+    """Backing-off weights of states, not a number for contexts that are none."""
+    keys, all_n, *sums = _received(group, "all_n", "n", "k", "q", "gain")
+    _, first, at = np.unique(keys, return_index=True, return_inverse=True)
+    n, k, q, gain = (np.bincount(at, x) for x in sums)
+    p = (n - DISCOUNT * k) / all_n[first]
+    rest_p, rest_q = (1 - np.minimum(x, 1 - 1e-12) for x in (p, q))
+    backoff = np.log(rest_p / rest_q)
+    return _answer(group, np.where(gain + rest_p * backoff >= DIVERGENCE, backoff, np.nan)[at])
+
+
+def _answer_writer(folder: str, part: str, dtype: type) -> Callable[[pa.Table], pa.Table]:
+    """Keeps the answers to all ranges of a chunk's keys in their order, and tells how many there are other than 0."""
+
+    def run(group: pa.Table) -> pa.Table:
+        chunk, rows = group.column("chunk")[0].as_py(), sorted(group.to_pylist(), key=lambda r: r["range"])
+        values = np.concatenate([_unpack(r["data"], r["size"], dtype) for r in rows])
+        _write_part(folder, chunk, part, pa.table({"value": pa.array(values)}))
+        return pa.table({"n": pa.array([np.count_nonzero(values)], pa.int64())})
+
+    return run
+
+
+_ANSWER = "range int, chunk long, size long, data binary"
 
 
 @dataclass
 class Layer:
     """What is known of each token of a chunk at one depth.
 
-    context is the key of the symbols before it and all_n how often these occur; n, how often the token's symbol follows
-    them (0 where that is below MIN_COUNT), stands at place in the chunk's table of next symbols, of which each is first in one chunk.
+    context is the key of the symbols before it, all_n how often these occur, n how often the token's symbol follows them (0
+    where that is below MIN_COUNT). first are tokens, one for each next symbol that the chunk has first.
     """
 
     context: np.ndarray
     all_n: np.ndarray
     n: np.ndarray
-    place: np.ndarray
     first: np.ndarray
 
     def logs(self) -> np.ndarray:
@@ -227,68 +302,74 @@ class Chunk:
         self.held = [is_held_out(d) for d in self.ids.to_pylist()]
         self.count, self.symbols = count[at], np.where(named, key, np.uint64(0))[at]
         self.n = np.where(named, count, root.others)[at]
-        # Where the end is a symbol, before a text stands nothing else; else other words' symbol stands there too.
-        ends = int(self.count[self.bounds[1] - 1])
-        self.ends, self.mixed = ends, ends < MIN_COUNT
+        self.ends = int(self.count[self.bounds[1] - 1])
+        # Before a text stands the end. Where that is no symbol, as with a single text to learn from, it has the one of all other
+        # words, and how often contexts with that symbol next occur has to be counted.
+        unclear = self.ends < MIN_COUNT
+        self.unclear = np.flatnonzero(self.before(self.symbols, 0) == 0) if unclear else np.zeros(0, np.int64)
 
     def train(self) -> np.ndarray:
         return np.repeat(~np.array(self.held, bool), np.diff(self.bounds))
 
-    def before(self, values: np.ndarray, at_start: float) -> np.ndarray:
+    def before(self, values: np.ndarray, at_start: int) -> np.ndarray:
         """The value of the token before each token."""
         out = np.empty_like(values)
         out[1:] = values[:-1]
         out[self.bounds[:-1]] = at_start
         return out
 
-    def unclear(self) -> np.ndarray:
-        """Tokens before which the end and other words have the same symbol: how often a context occurs is counted for these."""
-        return self.mixed & (self.before(self.symbols, 0) == 0)
-
     def base(self) -> np.ndarray:
         return self.root.logs(self.count)
 
-    def contexts(self, depth: int) -> list[np.ndarray]:
-        return context_keys(self.symbols, self.bounds, depth)
-
-    def _table(self, part: str) -> pa.Table | None:
-        """A file of the chunk; None where it was sent nothing."""
-        store, path = open_folder(self.folder)
-        there = store.get_file_info(f"{path}/{_chunk_name(self.chunk, part)}").type != fs.FileType.NotFound
-        return _read_part(self.folder, self.chunk, part) if there else None
-
-    def counted(self, depth: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Place of each key among those counted at a depth, its count (0 where it isn't one), and if the chunk has it first, by place."""
-        table = self._table(f"counts{depth}")
-        if table is None:
-            return np.full(len(keys), -1), np.zeros(len(keys), np.int64), np.zeros(0, bool)
-        place = _find(table.column("key").to_numpy().view(np.uint64), keys)
-        return place, np.where(place >= 0, table.column("c").to_numpy()[place], 0), table.column("first").to_numpy(zero_copy_only=False)
-
-    def layers(self, depth: int) -> Iterator[tuple[int, Layer]]:
-        below = self.n
-        for d, context in enumerate(self.contexts(depth), 1):
-            place, n, first = self.counted(d, entry_keys(context, self.symbols))
-            all_n = self.before(below, self.ends)
-            if self.mixed:
-                unclear = np.flatnonzero(self.unclear())
-                all_n[unclear] = self.counted(d, context[unclear])[1]
-            yield d, Layer(context, all_n, n, place, first)
-            below = n
-
-    def states(self, depth: int, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """If each context is a state of a depth, and its backing-off weight."""
-        table = self._table(f"states{depth}")
-        if table is None:
-            return np.zeros(len(context), bool), np.zeros(len(context))
-        at = _find(table.column("key").to_numpy().view(np.uint64), context)
-        return at >= 0, table.column("backoff").to_numpy()[at]
-
-
-def _batches(chunk: int, names: list[str], *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for lo in range(0, len(columns[0]), 65536):
-        part = [pa.array(c[lo:lo + 65536]) for c in columns]
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part[0]), chunk, np.int64)), *part], names=["chunk", *names])
+    def _answers(self, part: str, size: int) -> np.ndarray:
+        """The values for the keys that the chunk has sent; it has no file where it has sent none."""
+        return _read_part(self.folder, self.chunk, part).column("value").to_numpy() if size else np.zeros(0)
+
+    def asked(self, context: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens whose next symbols are counted, as they were found at the depth below; the distinct keys; where each token's is.
+
+        After the tokens' own come the contexts of unclear ones.
+        """
+        here = np.flatnonzero(below)
+        keys = entry_keys(context[here], self.symbols[here])
+        return here, *np.unique(np.concatenate([keys, context[self.unclear]]), return_inverse=True)
+
+    def found(self, depth: int) -> np.ndarray:
+        """How often each token's symbol follows its context of a depth that is done."""
+        return self.n if depth == 0 else _read_part(self.folder, self.chunk, f"found{depth}").column("n").to_numpy().astype(np.int64)
+
+    def grow(self, depth: int, context: np.ndarray) -> Layer:
+        """A depth from the answers; what tokens need of it later is kept by token, so that keys are not put in order again."""
+        below = self.found(depth - 1)
+        here, keys, at = self.asked(context, below if depth > 1 else np.ones(len(below), bool))
+        value = self._answers(f"counts{depth}", len(keys))
+        n = np.zeros(len(below), np.int64)
+        n[here] = np.abs(value[at[:len(here)]])
+        all_n = self.before(below, self.ends)
+        all_n[self.unclear] = np.abs(value[at[len(here):]])
+        token = np.full(len(keys), -1)
+        token[at[:len(here)]] = here
+        _write_part(self.folder, self.chunk, f"found{depth}", pa.table({
+            "n": pa.array(n.astype(np.min_scalar_type(n.max())))} | ({"all_n": pa.array(all_n)} if len(self.unclear) else {})))
+        return Layer(context, all_n, n, token[(value < 0) & (token >= 0)])
+
+    def layer(self, depth: int, context: np.ndarray) -> Layer:
+        """A depth that is done, without the tokens that are first."""
+        all_n = (_read_part(self.folder, self.chunk, f"found{depth}").column("all_n").to_numpy() if len(self.unclear)
+                 else self.before(self.found(depth - 1), self.ends))
+        return Layer(context, all_n, self.found(depth), np.zeros(0, np.int64))
+
+    def maybe(self, layer: Layer, live: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens whose contexts may be states, as their suffixes are; the distinct contexts; where each token's is."""
+        here = np.flatnonzero(live & (layer.all_n >= MIN_COUNT))
+        return here, *np.unique(layer.context[here], return_inverse=True)
+
+    def states(self, depth: int, layer: Layer, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """If the context of each token is a state of a depth, and its backing-off weight. live: if its suffix is a state."""
+        here, keys, at = self.maybe(layer, live)
+        backoff = np.full(len(live), np.nan)
+        backoff[here] = self._answers(f"states{depth}", len(keys))[at]
+        return ~np.isnan(backoff), backoff
 
 
 def _each_chunk(rows_of: Callable[[int], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -300,65 +381,59 @@ def _each_chunk(rows_of: Callable[[int], Iterator[pa.RecordBatch]]) -> Callable[
     return run
 
 
-def _symbol_rows(folder: str, root: Root, depth: int) -> Callable[[int], Iterator[pa.RecordBatch]]:
-    """(chunk, key, n): distinct contexts with next symbols of a chunk, by key, and their training counts.
-
-    Texts held out have rows that count nothing.
-    """
+def _symbol_rows(folder: str, root: Root, depth: int, ranges: int) -> Callable[[int], Iterator[pa.RecordBatch]]:
+    """Distinct contexts with next symbols of a chunk, by key, and their training counts; texts held out count nothing."""
 
     def rows_of(number: int) -> Iterator[pa.RecordBatch]:
         chunk = Chunk(folder, number, root)
-        keys, train = chunk.contexts(depth), chunk.train()
-        found = slice(None) if depth == 1 else chunk.counted(depth - 1, entry_keys(keys[-2], chunk.symbols))[1] > 0
-        asked, counts = entry_keys(keys[-1], chunk.symbols)[found], train[found]
-        if chunk.mixed:
-            unclear = chunk.unclear()
-            asked, counts = np.concatenate([asked, keys[-1][unclear]]), np.concatenate([counts, train[unclear]])
-        key, at = np.unique(asked, return_inverse=True)
-        yield from _batches(number, ["key", "n"], key.view(np.int64), np.bincount(at, counts, minlength=len(key)).astype(np.int64))
+        context, train = context_keys(chunk.symbols, chunk.bounds, depth)[-1], chunk.train()
+        here, keys, at = chunk.asked(context, chunk.found(depth - 1) > 0 if depth > 1 else np.ones(len(train), bool))
+        n = np.bincount(at, np.concatenate([train[here], train[chunk.unclear]]), minlength=len(keys))
+        yield from _sent(number, ranges, keys, n=n.astype(np.int64))
 
     return rows_of
 
 
-def _context_rows(folder: str, root: Root, depth: int) -> Callable[[int], Iterator[pa.RecordBatch]]:
-    """(chunk, key, p, q, gain): distinct contexts of a chunk that may be states, as their suffixes are.
+def _context_rows(folder: str, root: Root, depth: int, ranges: int) -> Callable[[int], Iterator[pa.RecordBatch]]:
+    """Distinct contexts of a chunk that may be states, by key, and what the next symbols add up to that it has first.
 
-    p and q sum up the probabilities of next symbols after the context and after its suffix, gain how these diverge, all
-    over the next symbols that the chunk has first.
+    n are the counts of the next symbols, k is how many these are, q their probabilities after the context's suffix, gain how the
+    probabilities diverge; all_n is how often the context occurs.
     """
 
     def rows_of(number: int) -> Iterator[pa.RecordBatch]:
         chunk = Chunk(folder, number, root)
+        contexts = context_keys(chunk.symbols, chunk.bounds, depth)
         live, logq = np.ones(len(chunk.symbols), bool), np.where(chunk.symbols == 0, np.log(root.other_share), chunk.base())
-        for d, layer in chunk.layers(depth):
-            if d == depth - 1:
-                live, logq = chunk.states(d, layer.context)[0], layer.logs()
-        contexts = np.unique(layer.context[live & (layer.all_n >= MIN_COUNT)])
-        token = np.full(len(layer.first), -1)
-        hit = np.flatnonzero(layer.n > 0)
-        token[layer.place[hit]] = hit
-        token = token[layer.first & (token >= 0)]
-        token = token[live[token]]
-        at, logp, logq = np.searchsorted(contexts, layer.context[token]), layer.logs()[token], logq[token]
-        sums = [np.bincount(at, x, minlength=len(contexts)).astype(float) for x in (np.exp(logp), np.exp(logq), np.exp(logp) * (logp - logq))]
-        yield from _batches(number, ["key", "p", "q", "gain"], contexts.view(np.int64), *sums)
+        if depth > 1:
+            layer = chunk.layer(depth - 1, contexts[-2])
+            if depth > 2:
+                live = _read_part(folder, number, f"live{depth - 2}").column("live").to_numpy(zero_copy_only=False)
+            live, logq = chunk.states(depth - 1, layer, live)[0], layer.logs()
+            _write_part(folder, number, f"live{depth - 1}", pa.table({"live": pa.array(live)}))
+        layer = chunk.grow(depth, contexts[-1])
+        here, contexts, at = chunk.maybe(layer, live)
+        all_n = np.zeros(len(contexts), np.int64)
+        all_n[at] = layer.all_n[here]
+        token = layer.first[live[layer.first]]
+        at, n, logq = np.searchsorted(contexts, layer.context[token]), layer.n[token], logq[token]
+        p = (n - DISCOUNT) / layer.all_n[token]
+        n, k, q, gain = (np.bincount(at, x, minlength=len(contexts)) for x in (n, np.ones(len(n)), np.exp(logq), p * (np.log(p) - logq)))
+        yield from _sent(number, ranges, contexts, all_n=all_n, n=n.astype(np.int64), k=k.astype(np.int64), q=q.astype(float), gain=gain.astype(float))
 
     return rows_of
 
 
-def _grow_depth(folder: str, chunks: DataFrame, root: Root, depth: int) -> bool:
-    """Count the next symbols of one depth, pick its states and send every chunk its own; if there was any."""
-    by_key = Window.partitionBy("key")
-    rows = chunks.mapInArrow(_each_chunk(_symbol_rows(folder, root, depth)), "chunk long, key long, n long")
-    rows = rows.withColumn("c", F.sum("n").over(by_key)).withColumn("first", F.min("chunk").over(by_key) == F.col("chunk"))
-    if _send_back(rows.where(F.col("c") >= MIN_COUNT).select("chunk", "key", "c", "first"), folder, f"counts{depth}").isEmpty():
+def _grow_depth(folder: str, chunks: DataFrame, root: Root, depth: int, ranges: int) -> bool:
+    """Count the next symbols of one depth, pick its states and answer every chunk; if there was any."""
+    sent = "range int, chunk long, size long, keys binary"
+    rows = chunks.mapInArrow(_each_chunk(_symbol_rows(folder, root, depth, ranges)), f"{sent}, n binary").groupBy("range").applyInArrow(_count, _ANSWER)
+    kept = cut(rows.groupBy("chunk").applyInArrow(_answer_writer(folder, f"counts{depth}", np.int64), "n long"))
+    if kept.where("n > 0").isEmpty():
         return False
-    rows = chunks.mapInArrow(_each_chunk(_context_rows(folder, root, depth)), "chunk long, key long, p double, q double, gain double")
-    p, q, gain = (F.sum(c).over(by_key) for c in ("p", "q", "gain"))
-    rows = rows.select("chunk", "key", F.least(p, F.lit(1 - 1e-12)).alias("p"), F.least(q, F.lit(1 - 1e-12)).alias("q"), gain.alias("gain"))
-    rows = rows.withColumn("backoff", F.log((1 - F.col("p")) / (1 - F.col("q"))))
-    states = rows.where(F.col("gain") + (1 - F.col("p")) * F.col("backoff") >= DIVERGENCE)
-    _send_back(states.select("chunk", "key", "backoff"), folder, f"states{depth}")
+    rows = chunks.mapInArrow(_each_chunk(_context_rows(folder, root, depth, ranges)), f"{sent}, all_n binary, n binary, k binary, q binary, gain binary")
+    rows = rows.groupBy("range").applyInArrow(_pick, _ANSWER)
+    cut(rows.groupBy("chunk").applyInArrow(_answer_writer(folder, f"states{depth}", np.float64), "n long"))
     return True
 
 
@@ -431,7 +506,11 @@ def log_probabilities(tree: Tree, tokens: np.ndarray, bounds: np.ndarray, base:
 def _scorer(folder: str, root: Root, depth: int) -> Callable[[int], Iterator[pa.RecordBatch]]:
     def scored(number: int) -> Iterator[pa.RecordBatch]:
         chunk = Chunk(folder, number, root)
-        found = [(*chunk.states(d, layer.context), layer.n > 0, layer.logs()) for d, layer in chunk.layers(depth)]
+        found, live = [], np.ones(len(chunk.symbols), bool)
+        for d, context in enumerate(context_keys(chunk.symbols, chunk.bounds, depth), 1):
+            layer = chunk.layer(d, context)
+            live, backoff = chunk.states(d, layer, live)
+            found.append((live, backoff, layer.n > 0, layer.logs()))
         base = chunk.base()
         score = _backed_off(found, chunk.symbols, base, root.other_share)
         yield pa.RecordBatch.from_pydict({
@@ -470,10 +549,11 @@ def _scored(rows: DataFrame, folder: str) -> DataFrame:
         F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(many, F.col("c"))), F.lit(0)), F.count(F.when(many, 1))).first()
     root = Root(tokens, distinct, n_named, tokens - named)
     words = counted.select("chunk", F.col("word").alias("key"), F.col("c").alias("value"))
-    chunks = cut(_send_back(words, folder, "words").repartition(shuffle_width(spark), "chunk"))
+    chunks = cut(cut(words.groupBy("chunk").applyInArrow(_words_writer(folder), "chunk long")).repartition(shuffle_width(spark), "chunk"))
+    ranges = max(1, chunks.count())
     drop_folder(f"{folder}/words")
     depth = 0
-    while depth < DEPTH and _grow_depth(folder, chunks, root, depth + 1):
+    while depth < DEPTH and _grow_depth(folder, chunks, root, depth + 1, ranges):
         depth += 1
     return chunks.mapInArrow(
         _each_chunk(_scorer(folder, root, depth)), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

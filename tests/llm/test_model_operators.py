@@ -134,6 +134,28 @@ def brute_scores(rows):
     return out
 
 
+@pytest.mark.parametrize("n", [0, 1, 2])
+def test_suffix_tree_with_few_texts_to_learn_from(make_docs, n):
+    """With one text the end is no symbol: it has the one of all other words, also before a text."""
+    ids = [i for i in range(1, 60) if zlib.crc32(str(i).encode()) % 10][:n] + [i for i in range(1, 60) if zlib.crc32(str(i).encode()) % 10 == 0][:2]
+    rows = [(i, f"a b c a b c x{i} y z{i} a b c q r x{i} s t a", "s") for i in ids]
+    got = sorted((r["doc_id"], round(r["score"], 5)) for r in suffix_tree.score(make_docs(rows)).collect())
+    assert np.allclose([x for _, x in got], [x for _, x in sorted(zip([i for i, *_ in rows], brute_scores(rows), strict=True))], atol=2e-5)
+
+
+def test_suffix_tree_sends_packed_keys():
+    """A chunk sends its next symbols as one row for each range of keys, some 6 bytes each, and gets an answer of a byte or two."""
+    rng = random.Random(3)
+    keys = np.unique(np.array([rng.randrange(2**64) for _ in range(100_000)], np.uint64))
+    rows = list(suffix_tree._sent(5, 4, keys, n=np.ones(len(keys), np.int64)))
+    assert len(rows) == 4 and sum(b.nbytes for b in rows) < 7 * len(keys)
+    group = pa.Table.from_batches([rows[1], rows[1].set_column(1, "chunk", pa.array([6], "int64"))])
+    answer = suffix_tree._count(group)
+    assert answer.column("data").nbytes < 2 * group.column("size").to_numpy().sum()
+    first, second = (suffix_tree._unpack(r["data"], r["size"], np.int64) for r in answer.to_pylist())
+    assert (first == -2).all() and (second == 2).all()
+
+
 def test_suffix_tree_against_brute_force(make_docs, odd_rows, chained, monkeypatch):
     """Few and many chunks; a passage of rare words that a share of all tokens would leave out is learnt."""
     rng = random.Random(12)
