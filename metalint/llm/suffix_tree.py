@@ -237,8 +237,10 @@ def _answer(group: pa.Table, values: np.ndarray) -> pa.Table:
 def _count(group: pa.Table) -> pa.Table:
     """Totals of next symbols, 0 for those below MIN_COUNT, less than 0 in one chunk for each next symbol: there it is first."""
     keys, n = _received(group, "n")
-    _, first, at = np.unique(keys, return_index=True, return_inverse=True)
+    _, at = np.unique(keys, return_inverse=True)
     total = np.bincount(at, n).astype(np.int64)
+    first = np.zeros(len(total), np.int64)
+    first[at] = np.arange(len(at))
     total[total < MIN_COUNT] = 0
     answer = total[at]
     answer[first] *= -1
@@ -248,21 +250,23 @@ def _count(group: pa.Table) -> pa.Table:
 def _pick(group: pa.Table) -> pa.Table:
     """Backing-off weights of states, not a number for contexts that are none."""
     keys, all_n, *sums = _received(group, "all_n", "n", "k", "q", "gain")
-    _, first, at = np.unique(keys, return_index=True, return_inverse=True)
+    _, at = np.unique(keys, return_inverse=True)
     n, k, q, gain = (np.bincount(at, x) for x in sums)
-    p = (n - DISCOUNT * k) / all_n[first]
+    total = np.zeros(len(n), np.int64)
+    total[at] = all_n
+    p = (n - DISCOUNT * k) / total
     rest_p, rest_q = (1 - np.minimum(x, 1 - 1e-12) for x in (p, q))
     backoff = np.log(rest_p / rest_q)
     return _answer(group, np.where(gain + rest_p * backoff >= DIVERGENCE, backoff, np.nan)[at])
 
 
-def _answer_writer(folder: str, part: str, dtype: type) -> Callable[[pa.Table], pa.Table]:
+def _answer_writer(folder: str, dtype: type) -> Callable[[pa.Table], pa.Table]:
     """Keeps the answers to all ranges of a chunk's keys in their order, and tells how many there are other than 0."""
 
     def run(group: pa.Table) -> pa.Table:
         chunk, rows = group.column("chunk")[0].as_py(), sorted(group.to_pylist(), key=lambda r: r["range"])
         values = np.concatenate([_unpack(r["data"], r["size"], dtype) for r in rows])
-        _write_part(folder, chunk, part, pa.table({"value": pa.array(values)}))
+        _write_part(folder, chunk, "answers", pa.table({"value": pa.array(values)}))
         return pa.table({"n": pa.array([np.count_nonzero(values)], pa.int64())})
 
     return run
@@ -323,7 +327,7 @@ class Chunk:
 
     def _answers(self, part: str, size: int) -> np.ndarray:
         """The values for the keys that the chunk has sent; it has no file where it has sent none."""
-        return _read_part(self.folder, self.chunk, part).column("value").to_numpy() if size else np.zeros(0)
+        return _read_part(f"{self.folder}/{part}", self.chunk, "answers").column("value").to_numpy() if size else np.zeros(0)
 
     def asked(self, context: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Tokens whose next symbols are counted, as they were found at the depth below; the distinct keys; where each token's is.
@@ -428,12 +432,13 @@ def _grow_depth(folder: str, chunks: DataFrame, root: Root, depth: int, ranges:
     """Count the next symbols of one depth, pick its states and answer every chunk; if there was any."""
     sent = "range int, chunk long, size long, keys binary"
     rows = chunks.mapInArrow(_each_chunk(_symbol_rows(folder, root, depth, ranges)), f"{sent}, n binary").groupBy("range").applyInArrow(_count, _ANSWER)
-    kept = cut(rows.groupBy("chunk").applyInArrow(_answer_writer(folder, f"counts{depth}", np.int64), "n long"))
+    kept = cut(rows.groupBy("chunk").applyInArrow(_answer_writer(f"{folder}/counts{depth}", np.int64), "n long"))
     if kept.where("n > 0").isEmpty():
         return False
     rows = chunks.mapInArrow(_each_chunk(_context_rows(folder, root, depth, ranges)), f"{sent}, all_n binary, n binary, k binary, q binary, gain binary")
     rows = rows.groupBy("range").applyInArrow(_pick, _ANSWER)
-    cut(rows.groupBy("chunk").applyInArrow(_answer_writer(folder, f"states{depth}", np.float64), "n long"))
+    cut(rows.groupBy("chunk").applyInArrow(_answer_writer(f"{folder}/states{depth}", np.float64), "n long"))
+    drop_folder(f"{folder}/counts{depth}")
     return True
 
 
