@@ -21,6 +21,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -299,19 +300,20 @@ class Chunk:
     def __init__(self, folder: str, chunk: int, root: Root):
         self.folder, self.chunk, self.root = folder, chunk, root
         docs, words = _read_part(folder, chunk, "docs"), _read_part(folder, chunk, "words")
-        at = _read_part(folder, chunk, "tokens").column("word").to_numpy()
-        key, count = words.column("key").to_numpy().view(np.uint64), words.column("value").to_numpy()
-        named = count >= MIN_COUNT
+        self.word = _read_part(folder, chunk, "tokens").column("word").to_numpy()
+        key, self.counts = words.column("key").to_numpy().view(np.uint64), words.column("value").to_numpy()
         self.ids, self.bounds = docs.column("doc_id").combine_chunks(), np.concatenate([[0], np.cumsum(docs.column("n").to_numpy())])
-        self.held = [is_held_out(d) for d in self.ids.to_pylist()]
-        self.count, self.symbols = count[at], np.where(named, key, np.uint64(0))[at]
-        self.n = np.where(named, count, root.others)[at]
-        self.ends = int(self.count[self.bounds[1] - 1])
+        self.symbols = np.where(self.counts >= MIN_COUNT, key, np.uint64(0))[self.word]
+        self.ends = int(self.counts[self.word[self.bounds[1] - 1]])
         # Before a text stands the end. Where that is no symbol, as with a single text to learn from, it has the one of all other
         # words, and how often contexts with that symbol next occur has to be counted.
         unclear = self.ends < MIN_COUNT
         self.unclear = np.flatnonzero(self.before(self.symbols, 0) == 0) if unclear else np.zeros(0, np.int64)
 
+    @cached_property
+    def held(self) -> list[bool]:
+        return [is_held_out(d) for d in self.ids.to_pylist()]
+
     def train(self) -> np.ndarray:
         return np.repeat(~np.array(self.held, bool), np.diff(self.bounds))
 
@@ -323,7 +325,7 @@ class Chunk:
         return out
 
     def base(self) -> np.ndarray:
-        return self.root.logs(self.count)
+        return self.root.logs(self.counts)[self.word]
 
     def _answers(self, part: str, size: int) -> np.ndarray:
         """The values for the keys that the chunk has sent; it has no file where it has sent none."""
@@ -340,7 +342,9 @@ class Chunk:
 
     def found(self, depth: int) -> np.ndarray:
         """How often each token's symbol follows its context of a depth that is done."""
-        return self.n if depth == 0 else _read_part(self.folder, self.chunk, f"found{depth}").column("n").to_numpy().astype(np.int64)
+        if depth == 0:
+            return np.where(self.counts >= MIN_COUNT, self.counts, self.root.others)[self.word]
+        return _read_part(self.folder, self.chunk, f"found{depth}").column("n").to_numpy().astype(np.int64)
 
     def grow(self, depth: int, context: np.ndarray) -> Layer:
         """A depth from the answers; what tokens need of it later is kept by token, so that keys are not put in order again."""
@@ -408,8 +412,10 @@ def _context_rows(folder: str, root: Root, depth: int, ranges: int) -> Callable[
     def rows_of(number: int) -> Iterator[pa.RecordBatch]:
         chunk = Chunk(folder, number, root)
         contexts = context_keys(chunk.symbols, chunk.bounds, depth)
-        live, logq = np.ones(len(chunk.symbols), bool), np.where(chunk.symbols == 0, np.log(root.other_share), chunk.base())
-        if depth > 1:
+        live = np.ones(len(chunk.symbols), bool)
+        if depth == 1:
+            logq = np.where(chunk.symbols == 0, np.log(root.other_share), chunk.base())
+        else:
             layer = chunk.layer(depth - 1, contexts[-2])
             if depth > 2:
                 live = _read_part(folder, number, f"live{depth - 2}").column("live").to_numpy(zero_copy_only=False)
@@ -520,7 +526,7 @@ def _scorer(folder: str, root: Root, depth: int) -> Callable[[int], Iterator[pa.
         score = _backed_off(found, chunk.symbols, base, root.other_share)
         yield pa.RecordBatch.from_pydict({
             "doc_id": chunk.ids, "held_out": pa.array(chunk.held, pa.bool_()),
-            "n_tokens": pa.array(np.diff(chunk.bounds).astype(np.int64)), "n_known": pa.array(sums_between(chunk.count > 0, chunk.bounds)),
+            "n_tokens": pa.array(np.diff(chunk.bounds).astype(np.int64)), "n_known": pa.array(sums_between((chunk.counts > 0)[chunk.word], chunk.bounds)),
             "train_tokens": pa.array(np.full(len(chunk.ids), root.tokens, np.int64)),
             "base_score": pa.array(sums_between(base, chunk.bounds) / np.log(10)), "score": pa.array(sums_between(score, chunk.bounds) / np.log(10))})
 
